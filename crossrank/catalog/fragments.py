@@ -137,3 +137,190 @@ part(
     "labels0",
     "prices",
 )
+part(
+    "dayk",
+    "SELECT c.k, d.day AS date FROM cal c JOIN days d ON d.day > c.base_date AND d.day <= c.end_date",
+    "cal",
+    "days",
+)
+part("syms", "SELECT symbol, any_value(sk) AS sk, MIN(date) AS first_date FROM prices GROUP BY 1", "prices")
+part("delist", "SELECT symbol, DATE '1999-01-15' AS delisted FROM syms WHERE sk % 25 = 7", "syms")
+part("members", "SELECT c.k, s.symbol FROM cal c JOIN syms s ON s.first_date <= c.base_date", "cal", "syms")
+part(
+    "members_d2",
+    "SELECT m.k, m.symbol FROM members m JOIN cal c USING (k) LEFT JOIN delist d USING (symbol) "
+    "WHERE d.delisted IS NULL OR d.delisted > c.base_date",
+    "members",
+    "delist",
+    "cal",
+)
+part(
+    "win",
+    """SELECT k, origin, j, wb, we FROM (
+    SELECT *, MIN(CASE WHEN wb IS NULL OR we <= wb THEN j END) OVER (PARTITION BY k) AS stop FROM (
+      SELECT c.k, c.base_date AS origin, CAST(j AS INTEGER) AS j,
+      (SELECT MAX(day) FROM days WHERE day <= c.base_date - CAST(28*(j+1) AS INTEGER)) AS wb,
+      (SELECT MAX(day) FROM days WHERE day <= c.base_date - CAST(28*j AS INTEGER)) AS we
+      FROM cal c CROSS JOIN (SELECT unnest(range(0, 100)) AS j) r)
+    ) WHERE stop IS NULL OR j < stop""",
+    "cal",
+    "days",
+)
+part(
+    "wret",
+    """SELECT w.wb, w.we, e.symbol, (e.price - b.price) / b.price AS ret
+    FROM (SELECT DISTINCT wb, we FROM win) w
+    JOIN spell e ON e.date <= w.we AND e.next_date > w.we
+    JOIN spell b ON b.symbol = e.symbol AND b.date <= w.wb AND b.next_date > w.wb""",
+    "win",
+    "spell",
+)
+
+
+def history_sql(members: str) -> str:
+    counts = ", ".join(f"SUM(Target{q}) AS c{q}" for q in range(1, 6))
+    ranks = ", ".join(
+        f"(COALESCE(c{q}, 0) + 1.0) / (COALESCE(c1 + c2 + c3 + c4 + c5, 0) + 5.0) AS Rank{q}"
+        for q in range(1, 6)
+    )
+    source = (
+        f"(SELECT w.k, w.j, r.symbol, r.ret FROM win w JOIN wret r USING (wb, we) "
+        f"JOIN {members} m ON m.k = w.k AND m.symbol = r.symbol)"
+    )
+    return (
+        f"SELECT 'historical_frequency' AS model, m.k, m.symbol, {ranks}, "
+        f"1.0 / COUNT(*) OVER (PARTITION BY m.k) AS weight FROM {members} m LEFT JOIN "
+        f"(SELECT k, symbol, {counts} FROM ({targets_sql(source, 'k, j')}) WHERE n >= 5 GROUP BY 1, 2) c "
+        "ON c.k = m.k AND c.symbol = m.symbol"
+    )
+
+
+part("hist", history_sql("members"), "win", "wret", "members")
+part("hist_d2", history_sql("members_d2"), "win", "wret", "members_d2")
+
+
+def uniform_sql(members: str) -> str:
+    return (
+        "SELECT 'uniform' AS model, k, symbol, 0.2::DOUBLE AS Rank1, 0.2::DOUBLE AS Rank2, 0.2::DOUBLE AS Rank3, "
+        f"0.2::DOUBLE AS Rank4, 0.2::DOUBLE AS Rank5, 1.0::DOUBLE / COUNT(*) OVER (PARTITION BY k) AS weight FROM {members}"
+    )
+
+
+part(
+    "fc",
+    f"{uniform_sql('members')} UNION ALL SELECT * FROM hist UNION ALL SELECT Team AS model, k, "
+    "Symbol AS symbol, Rank1, Rank2, Rank3, Rank4, Rank5, Decision AS weight FROM subs",
+    "members",
+    "hist",
+    "subs",
+)
+part("fc_d2", f"{uniform_sql('members_d2')} UNION ALL SELECT * FROM hist_d2", "members_d2", "hist_d2")
+
+
+def turnover_sql(fc: str) -> str:
+    return (
+        f"SELECT COALESCE(a.model, b.model) AS model, COALESCE(a.k, b.k + 1) AS k, "
+        "SUM(ABS(COALESCE(a.weight, 0) - COALESCE(b.weight, 0))) AS turnover "
+        f"FROM {fc} a FULL OUTER JOIN (SELECT * FROM {fc} WHERE k < 69) b "
+        "ON a.model = b.model AND a.symbol = b.symbol AND a.k = b.k + 1 GROUP BY 1, 2"
+    )
+
+
+def daily_sql(fc: str, ids: str = "model") -> str:
+    return (
+        f"SELECT g.{ids}, d.k, d.date, LN(1 + COALESCE(s.x, 0)) AS ret, "
+        f"row_number() OVER (PARTITION BY g.{ids}, d.k ORDER BY d.date) = 1 AS is_first "
+        f"FROM (SELECT DISTINCT {ids}, k FROM {fc}) g JOIN dayk d ON d.k = g.k LEFT JOIN "
+        f"(SELECT f.{ids}, f.k, p.date, SUM(f.weight * p.r) AS x FROM {fc} f JOIN dayk d ON d.k = f.k "
+        "JOIN spell p ON p.symbol = f.symbol AND p.date = d.date GROUP BY 1, 2, 3) s "
+        f"ON s.{ids} = g.{ids} AND s.k = d.k AND s.date = d.date"
+    )
+
+
+def net_sql(daily: str, turn: str) -> str:
+    return (
+        "SELECT d.*, CASE WHEN is_first THEN LN(1 + (EXP(ret) - 1 - 0.001 * turnover)) ELSE ret END AS ret_net "
+        f"FROM {daily} d JOIN {turn} t USING (model, k)"
+    )
+
+
+def ratio_sql(col: str, zero: str = "NULL") -> str:
+    return f"CASE WHEN STDDEV_SAMP({col}) = 0 THEN {zero} ELSE SUM({col}) / STDDEV_SAMP({col}) END"
+
+
+def periods_sql(fc: str, targets: str, net: str, turn: str) -> str:
+    return (
+        "SELECT s.model, s.k, c.label, c.phase, c.base_date AS origin, c.end_date, s.n_assets, s.rps, i.ir, i.ir_net, t.turnover "
+        f"FROM (SELECT f.model, f.k, AVG({rps_sql()}) AS rps, COUNT(*) AS n_assets FROM {fc} f JOIN {targets} t USING (k, symbol) GROUP BY 1, 2) s "
+        f"JOIN (SELECT model, k, {ratio_sql('ret')} AS ir, {ratio_sql('ret_net')} AS ir_net FROM {net} GROUP BY 1, 2) i USING (model, k) "
+        f"JOIN {turn} t USING (model, k) JOIN cal c ON c.k = s.k"
+    )
+
+
+for _suffix, _members in (("", "members"), ("_d2", "members_d2")):
+    part(f"turn{_suffix}", turnover_sql(f"fc{_suffix}"), f"fc{_suffix}")
+    part(f"gross{_suffix}", daily_sql(f"fc{_suffix}"), f"fc{_suffix}", "dayk", "spell")
+    part(f"net{_suffix}", net_sql(f"gross{_suffix}", f"turn{_suffix}"), f"gross{_suffix}", f"turn{_suffix}")
+    part(
+        f"mtargets{_suffix}",
+        targets_sql(f"(SELECT r.k, r.symbol, r.ret FROM rets r JOIN {_members} m USING (k, symbol))", "k"),
+        "rets",
+        _members,
+    )
+    part(
+        f"periods{_suffix}",
+        periods_sql(f"fc{_suffix}", f"mtargets{_suffix}", f"net{_suffix}", f"turn{_suffix}"),
+        f"fc{_suffix}",
+        f"mtargets{_suffix}",
+        f"net{_suffix}",
+        f"turn{_suffix}",
+        "cal",
+    )
+
+part(
+    "tscores",
+    f"""SELECT Team AS team, k, AVG({rps_sql('f.Rank', 't.Target')}) AS rps,
+    bool_and(Submission = Evaluation) AS fresh
+    FROM (SELECT * FROM subs WHERE IsActive = 1 AND k BETWEEN 1 AND 12) f
+    JOIN targets t USING (k, symbol) GROUP BY 1, 2""",
+    "subs",
+    "targets",
+)
+part(
+    "teamw",
+    "SELECT Team AS team, k, Symbol AS symbol, Decision AS weight FROM subs WHERE IsActive = 1 AND k BETWEEN 1 AND 12",
+    "subs",
+)
+part("tdaily", daily_sql("teamw", "team"), "teamw", "dayk", "spell")
+part(
+    "groups",
+    """SELECT 'month' AS level, k AS period, k, k AS first_k, 1 AS size FROM labels0 WHERE k BETWEEN 1 AND 12
+    UNION ALL SELECT 'quarter', (k-1)//3 + 1, k, (k-1)//3*3 + 1, 3 FROM labels0 WHERE k BETWEEN 1 AND 12
+    UNION ALL SELECT 'global', 1, k, 1, 12 FROM labels0 WHERE k BETWEEN 1 AND 12""",
+    "labels0",
+)
+
+
+def summary_sql(zero: str) -> str:
+    return (
+        "SELECT a.level, CAST(a.period AS INTEGER) AS period, a.team, a.rps, b.ir, b.returns, b.risk FROM "
+        "(SELECT level, period, team, AVG(rps) AS rps, bool_or(k = first_k) AS f FROM tscores JOIN groups USING (k) GROUP BY 1, 2, 3) a JOIN "
+        f"(SELECT level, period, team, {ratio_sql('ret', zero)} AS ir, SUM(ret) AS returns, STDDEV_SAMP(ret) AS risk "
+        "FROM tdaily JOIN groups USING (k) GROUP BY 1, 2, 3) b USING (level, period, team) WHERE a.f"
+    )
+
+
+def average_rank_sql(col: str, by: str) -> str:
+    return f"rank() OVER (PARTITION BY {by} ORDER BY {col}) + (COUNT(*) OVER (PARTITION BY {by}, {col}) - 1) / 2.0"
+
+
+part("summary1", summary_sql("1.0"), "tscores", "tdaily", "groups")
+part("summary0", summary_sql("NULL"), "tscores", "tdaily", "groups")
+part(
+    "board",
+    "SELECT *, rank() OVER (PARTITION BY level, period ORDER BY overall_rank) AS position FROM ("
+    "SELECT *, (rps_rank + ir_rank) / 2 AS overall_rank FROM (SELECT *, "
+    f"{average_rank_sql('ROUND(rps, 6)', 'level, period')} AS rps_rank, "
+    f"{average_rank_sql('-ir', 'level, period')} AS ir_rank FROM summary1))",
+    "summary1",
+)

@@ -1,156 +1,166 @@
 """Exact ranks and order statistics of groups too large for one task.
 
 A plain ranking window sorts a whole group in one task, and a cross-section (all assets on
-one date) may be as large as the data.  Here an approximate-percentile sketch per group,
-which merges map-side and has a fixed size, cuts every group into ``buckets`` value ranges;
-bucket totals give each range its offset, and only the rows of one range meet in a task.
-The sketch decides only where the cuts are, so results are exact.  Equal values are counted
-before they are shuffled, so a value shared by a third of the rows is one row.
+one date) may be as large as the data.  Both operators here start from an approximate
+percentile sketch per group, which merges map-side and has a fixed size, and then make the
+result exact: order statistics count the rows around a narrow bracket and sort only the rows
+inside it; ranks sort value ranges apart and add the totals of the ranges below.  Equal values
+are counted before they are shuffled, so a value shared by a third of the rows is one row.
 
 ``bounded`` says that the groups are keyed by the calendar (dates, periods, windows), whose
-number is limited by the days covered and not by the data; then the sketches (``buckets``
-doubles per group) are broadcast.  Otherwise Spark decides from their size.
+number is limited by the days covered and not by the data; then the sketches (a few doubles
+per group) are broadcast.  Otherwise Spark decides from their size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 32
-_ACCURACY = 2048
+_ACCURACY = 2000
+_SLACK = 1.5 / _ACCURACY
 
 
-def _cuts(buckets: int) -> list[float]:
-    return [i / buckets for i in range(1, buckets)]
+@dataclass(frozen=True)
+class Place:
+    """A wanted position: its share of the group and the exact position as SQL over ``n``."""
+
+    level: float
+    position: str
 
 
 def _hint(df: DataFrame, bounded: bool) -> DataFrame:
     return F.broadcast(df) if bounded else df
 
 
-def _bucket(cuts: str, value: str) -> Column:
-    return F.size(F.filter(F.col(cuts), lambda c: c < F.col(value))).alias("_bucket")
+def _clip(level: float) -> float:
+    return min(max(level, 0.0), 1.0)
 
 
 def order_statistics(
-    df: DataFrame,
-    by: list[str],
-    value: str,
-    positions: Callable[[Column], Column],
-    bounded: bool = True,
-    buckets: int = BUCKETS,
+    df: DataFrame, by: list[str], value: str, places: list[Place], bounded: bool = True
 ) -> DataFrame:
     """Values at given 1-based positions of every group, in ascending order.
 
-    ``positions`` maps the group size to an array of positions.  Returns ``by``, ``slot``
-    (index in that array), ``value``, ``less`` (rows below the value), ``ties`` (rows equal
-    to it) and ``n``.  Positions below 1 give no row.
+    Returns ``by``, ``slot`` (index in ``places``), ``value``, ``less`` (rows below the
+    value), ``ties`` (rows equal to it) and ``n``.  Positions are moved into 1..n.
     """
-    rows = df.select(*by, F.col(value).alias("_value")).where(F.col("_value").isNotNull())
-    sketch = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_value", _cuts(buckets), _ACCURACY).alias("_cuts"),
-    )
-    binned = rows.join(_hint(sketch, bounded), by).select(
-        *by, "_n", "_value", _bucket("_cuts", "_value")
-    )
-    fill = binned.groupBy(*by, "_bucket").agg(
-        F.count(F.lit(1)).alias("_rows"), F.max("_n").alias("_n")
-    )
-    upto = Window.partitionBy(*by).orderBy("_bucket")  # at most `buckets` rows per group
-    hits = (
-        fill.withColumn("_upto", F.sum("_rows").over(upto))
-        .select("*", F.posexplode(positions(F.col("_n"))).alias("slot", "_at"))
-        .where((F.col("_at") > F.col("_upto") - F.col("_rows")) & (F.col("_at") <= F.col("_upto")))
-        .select(*by, "_bucket", "_n", "slot", "_at", (F.col("_upto") - F.col("_rows")).alias("_before"))
+    rows = df.select(*by, F.col(value).alias("_v")).where("_v IS NOT NULL")
+    levels = [_clip(p.level + side) for p in places for side in (-_SLACK, _SLACK)]
+    sketch = rows.groupBy(*by).agg(F.percentile_approx("_v", levels, _ACCURACY).alias("_e"))
+    sums = ["count(1) AS n", "first(_e) AS _e"]
+    for i in range(len(places)):
+        sums.append(f"count_if(_v < _e[{2 * i}]) AS _less{i}")
+        sums.append(f"count_if(_v <= _e[{2 * i + 1}]) AS _upto{i}")
+    counted = rows.join(_hint(sketch, bounded), by).groupBy(*by).agg(*map(F.expr, sums))
+    # One struct per place.  The sketch may miss: then everything on that side is searched.
+    brackets = []
+    for i, p in enumerate(places):
+        at = f"bigint(least(greatest({p.position}, 1), n))"
+        low, high = f"_e[{2 * i}]", f"_e[{2 * i + 1}]"
+        brackets.append(
+            f"CASE WHEN {at} <= _less{i} THEN named_struct('at', {at}, 'before', 0L,"
+            f" 'low', -double('inf'), 'high', {low})"
+            f" WHEN {at} > _upto{i} THEN named_struct('at', {at}, 'before', _upto{i},"
+            f" 'low', {high}, 'high', double('inf'))"
+            f" ELSE named_struct('at', {at}, 'before', _less{i}, 'low', {low}, 'high', {high}) END"
+            f" AS _p{i}"
+        )
+    brackets = counted.selectExpr(*by, "n", *brackets)
+    inside = [_within(f"_p{i}", "_v") for i in range(len(places))]
+    options = ", ".join(
+        f"CASE WHEN {test} THEN named_struct('slot', {i}, 'p', _p{i}) END"
+        for i, test in enumerate(inside)
     )
     distinct = (
-        binned.join(
-            _hint(hits.select(*by, "_bucket").distinct(), bounded), [*by, "_bucket"], "left_semi"
+        rows.join(_hint(brackets, bounded), by)
+        .where(" OR ".join(inside))
+        .selectExpr(*by, "_v", "n", f"explode(filter(array({options}), o -> o IS NOT NULL)) AS o")
+        .selectExpr(*by, "o.slot AS slot", "_v", "n", "o.p.at AS _at", "o.p.before AS _before")
+        .groupBy(*by, "slot", "_v")
+        .agg(
+            F.count("n").alias("ties"),
+            F.max("n").alias("n"),
+            F.max("_at").alias("_at"),
+            F.max("_before").alias("_before"),
         )
-        .groupBy(*by, "_bucket", "_value")
-        .agg(F.count(F.lit(1)).alias("ties"))
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_value")
-    running = distinct.withColumn("_run", F.sum("ties").over(inside))
-    last = F.col("_before") + F.col("_run")
+    keys = ", ".join([*by, "slot"])
     return (
-        running.join(_hint(hits, bounded), [*by, "_bucket"])
-        .where((F.col("_at") <= last) & (F.col("_at") > last - F.col("ties")))
-        .select(
+        distinct.selectExpr(
             *by,
             "slot",
-            F.col("_value").alias("value"),
-            (last - F.col("ties")).alias("less"),
+            "_v AS value",
+            f"_before + sum(ties) OVER (PARTITION BY {keys} ORDER BY _v) - ties AS less",
             "ties",
-            F.col("_n").alias("n"),
+            "n",
+            "_at",
         )
+        .where("_at > less AND _at <= less + ties")
+        .drop("_at")
     )
 
 
+def _within(bracket: str, value: str) -> str:
+    """Inside the closed bracket, or strictly beyond an edge the sketch placed wrongly."""
+    low = f"({value} > {bracket}.low OR ({value} = {bracket}.low AND {bracket}.high < double('inf')))"
+    high = f"({value} < {bracket}.high OR ({value} = {bracket}.high AND {bracket}.low > -double('inf')))"
+    return f"({low} AND {high})"
+
+
 def exact_quantiles(
     df: DataFrame, by: list[str], value: str, levels: dict[str, float], bounded: bool = True
 ) -> DataFrame:
     """Quantiles with linear interpolation between order statistics, one column per level."""
     names = list(levels)
-
-    def ends(n: Column) -> Column:
-        return F.array(
-            *[
-                edge((n - 1) * F.lit(levels[c])).cast("long") + 1
-                for c in names
-                for edge in (F.floor, F.ceil)
-            ]
-        )
-
-    found = order_statistics(df, by, value, ends, bounded)
+    places = []
+    for c in names:
+        q = levels[c]
+        places.append(Place(q, f"floor((n - 1) * {q}D) + 1"))
+        places.append(Place(q, f"ceil((n - 1) * {q}D) + 1"))
+    found = order_statistics(df, by, value, places, bounded)
     exprs = []
     for i, c in enumerate(names):
-        low = F.max(F.when(F.col("slot") == 2 * i, F.col("value")))
-        high = F.max(F.when(F.col("slot") == 2 * i + 1, F.col("value")))
-        at = (F.max("n") - 1) * F.lit(levels[c])
-        exprs.append((low + (high - low) * (at - F.floor(at))).alias(c))
-    return found.groupBy(*by).agg(*exprs)
+        low, high = (f"max(CASE WHEN slot = {2 * i + j} THEN value END)" for j in (0, 1))
+        at = f"(max(n) - 1) * {levels[c]}D"
+        exprs.append(f"{low} + ({high} - {low}) * ({at} - floor({at})) AS {c}")
+    return found.groupBy(*by).agg(*map(F.expr, exprs))
 
 
 def ranked_values(
-    df: DataFrame,
-    by: list[str],
-    value: str,
-    bounded: bool = False,
-    buckets: int = BUCKETS,
+    df: DataFrame, by: list[str], value: str, bounded: bool = False, buckets: int = BUCKETS
 ) -> DataFrame:
     """One row per distinct value of every group: ``ties``, ``less`` and group size ``n``.
 
     Also keeps ``_bucket`` so that prefix scans can continue from here.
     """
-    counted = (
-        df.select(*by, F.col(value).alias(value))
-        .where(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("ties"))
-    )
-    sketch = counted.groupBy(*by).agg(
-        F.sum("ties").alias("n"),
-        F.percentile_approx(value, _cuts(buckets), _ACCURACY).alias("_cuts"),
-    )
-    binned = counted.join(_hint(sketch, bounded), by).select(
-        *by, value, "ties", "n", _bucket("_cuts", value)
+    rows = df.select(*by, value).where(F.col(value).isNotNull())
+    cuts = [i / buckets for i in range(1, buckets)]
+    sketch = rows.groupBy(*by).agg(F.percentile_approx(value, cuts, _ACCURACY).alias("_cuts"))
+    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
+    binned = counted.join(_hint(sketch, bounded), by).selectExpr(
+        *by, value, "ties", f"size(filter(_cuts, c -> c < {value})) AS _bucket"
     )
-    total = binned.groupBy(*by, "_bucket").agg(F.sum("ties").alias("_rows"))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offset = total.select(
-        *by, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
+    group = ", ".join(by)  # at most `buckets` rows per group from here
+    offset = (
+        binned.groupBy(*by, "_bucket")
+        .agg(F.sum("ties").alias("_rows"))
+        .selectExpr(
+            *by,
+            "_bucket",
+            f"coalesce(sum(_rows) OVER (PARTITION BY {group} ORDER BY _bucket"
+            " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS _before",
+            f"sum(_rows) OVER (PARTITION BY {group}) AS n",
+        )
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy(value)
-    return binned.join(_hint(offset, bounded), [*by, "_bucket"]).select(
+    return binned.join(_hint(offset, bounded), [*by, "_bucket"]).selectExpr(
         *by,
         value,
         "ties",
-        (F.col("_before") + F.sum("ties").over(inside) - F.col("ties")).alias("less"),
+        f"_before + sum(ties) OVER (PARTITION BY {group}, _bucket ORDER BY {value}) - ties AS less",
         "n",
         "_bucket",
     )
@@ -171,15 +181,15 @@ def with_rank(
     the mean position divided by the number of values.
     """
     table = ranked_values(df, by, value, bounded)
-    mean_rank = F.col("less") + (F.col("ties") + F.lit(1.0)) / F.lit(2.0)
+    mean_rank = "(less + (ties + 1) / 2D)"
     picks = []
     if low:
-        picks.append((F.col("less") + 1).cast("long").alias(low))
+        picks.append(f"less + 1 AS {low}")
     if average:
-        picks.append(mean_rank.alias(average))
+        picks.append(f"{mean_rank} AS {average}")
     if percentile:
-        picks.append((mean_rank / F.col("n")).alias(percentile))
-    return df.join(table.select(*by, value, *picks), [*by, value], "left")
+        picks.append(f"{mean_rank} / n AS {percentile}")
+    return df.join(table.selectExpr(*by, value, *picks), [*by, value], "left")
 
 
 def prefix_extreme(

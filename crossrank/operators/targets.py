@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossrank.functions.scores import TARGETS, quintile_share, rps_expr, threshold
-from crossrank.operators.ordering import order_statistics, ranked_values
+from crossrank.functions.scores import TARGETS, rps_expr, threshold, tie_share
+from crossrank.operators.ordering import Place, order_statistics, ranked_values
 from crossrank.schema import RANKS
 
 OFFICIAL_SIZE = 100
@@ -16,25 +16,19 @@ def thresholds_rule(n: Column) -> Column:
     return F.when(n == OFFICIAL_SIZE, F.lit("official")).otherwise(F.lit("proportional"))
 
 
-def _inner_thresholds(n: Column) -> Column:
-    return F.array(*[threshold(n, q) for q in range(1, 5)])
-
-
 def quintile_cuts(df: DataFrame, by: list[str], value: str, bounded: bool = True) -> DataFrame:
-    """Per group, the values at the four quintile limits with the ranks of their tie groups."""
-    limits = order_statistics(df, by, value, _inner_thresholds, bounded)
+    """Per group, the values at the four quintile limits with the ranks of their tie groups.
+
+    A limit at position 0 (fewer than five assets) is left NULL: every value lies above it.
+    """
+    places = [Place(q / 5, threshold("n", q)) for q in range(1, 5)]
+    limits = order_statistics(df, by, value, places, bounded)
     picks = [
-        F.max(
-            F.when(
-                F.col("slot") == q,
-                F.struct(F.col("value").alias("v"), F.col("less"), F.col("ties")),
-            )
-        ).alias(f"_cut{q}")
+        f"max(CASE WHEN slot = {q} AND {threshold('n', q + 1)} > 0"
+        f" THEN struct(value AS v, less, ties) END) AS _cut{q}"
         for q in range(4)
     ]
-    sizes = df.groupBy(*by).agg(F.count(value).alias("n"))
-    found = limits.groupBy(*by).agg(*picks)
-    return sizes.join(F.broadcast(found) if bounded else found, by, "left")
+    return limits.groupBy(*by).agg(F.max("n").alias("n"), *map(F.expr, picks))
 
 
 def quintile_targets(
@@ -54,33 +48,24 @@ def quintile_targets(
     if rule not in ("official", "proportional"):
         raise ValueError(f"unknown thresholds rule {rule!r}")
     cuts = quintile_cuts(df, by, value, bounded)
-    joined = df.join(F.broadcast(cuts) if bounded else cuts, by)
-    x, n = F.col(value), F.col("n")
-    below = F.lit(1)
-    less, ties = F.lit(None).cast("long"), F.lit(None).cast("long")
-    for q in range(4):
-        cut = F.col(f"_cut{q}")
-        # n < 5 leaves the first limits empty: every value lies above them.
-        below = below + F.when(cut.isNull() | (cut["v"] < x), 1).otherwise(0)
-        less = F.coalesce(less, F.when(cut["v"] == x, cut["less"]))
-        ties = F.coalesce(ties, F.when(cut["v"] == x, cut["ties"]))
-    floor = F.coalesce(*[F.when(below == q, threshold(n, q - 1)) for q in range(1, 6)])
-    ready = joined.withColumn("_less", F.coalesce(less, floor)).withColumn(
-        "_ties", F.coalesce(ties, F.lit(1).cast("long"))
+    joined = df.join(F.broadcast(cuts) if bounded else cuts, by, "left")
+    level = " + ".join(f"int(_cut{q} IS NULL OR _cut{q}.v < {value})" for q in range(4))
+    tie = ", ".join(f"CASE WHEN _cut{q}.v = {value} THEN _cut{q} END" for q in range(4))
+    placed = joined.selectExpr(
+        *df.columns, "n", f"1 + {level} AS _level", f"coalesce({tie}) AS _tie"
     )
-    guard = F.when(x.isNull(), F.raise_error(F.lit("missing period return")).cast("double"))
+    guard = f"WHEN {value} IS NULL THEN double(raise_error('missing period return'))"
     if rule == "official":
-        guard = guard.when(
-            n != OFFICIAL_SIZE,
-            F.raise_error(
-                F.concat(F.lit("official limits need 100 assets, got "), n.cast("string"))
-            ).cast("double"),
+        guard += (
+            f" WHEN n != {OFFICIAL_SIZE} THEN double(raise_error("
+            f"concat('official limits need {OFFICIAL_SIZE} assets, got ', n)))"
         )
     shares = [
-        guard.otherwise(quintile_share(F.col("_less"), F.col("_ties"), n, q)).alias(t)
+        f"CASE {guard} WHEN _tie IS NULL THEN double(_level = {q})"
+        f" ELSE {tie_share('_tie.less', '_tie.ties', 'n', q)} END AS {t}"
         for q, t in enumerate(TARGETS, 1)
     ]
-    return ready.select(*df.columns, "n", *shares)
+    return placed.selectExpr(*df.columns, "n", *shares)
 
 
 def missing_forecasts(targets: DataFrame, forecasts: DataFrame, on: list[str]) -> DataFrame:
@@ -91,7 +76,7 @@ def missing_forecasts(targets: DataFrame, forecasts: DataFrame, on: list[str]) -
 def rps_per_asset(forecasts: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
     """RPS of every forecast row that has a target; both sides are joined on ``on``."""
     realised = targets.select(*on, *TARGETS)
-    return forecasts.join(realised, on).withColumn("rps", rps_expr(RANKS, TARGETS))
+    return forecasts.join(realised, on).withColumn("rps", F.expr(rps_expr()))
 
 
 def mean_rps(scored: DataFrame, by: list[str]) -> DataFrame:
@@ -110,13 +95,14 @@ def window_mean_rps(scored: DataFrame, window: list[str], by: list[str]) -> Data
 
 def label_rps(rows: DataFrame, by: list[str], label: str = "label", weight: str = "weight") -> DataFrame:
     """Weighted mean RPS of one-hot labels (0..4) against Rank1..Rank5."""
-    hot = rows
-    for q, t in enumerate(TARGETS):
-        hot = hot.withColumn(t, (F.col(label) == q).cast("double"))
-    hot = hot.withColumn("_rps", rps_expr(RANKS, TARGETS))
+    hot = rows.selectExpr(
+        *by,
+        *RANKS,
+        f"{weight} AS _w",
+        *[f"double({label} = {q}) AS {t}" for q, t in enumerate(TARGETS)],
+    )
     return hot.groupBy(*by).agg(
-        (F.sum(F.col(weight) * F.col("_rps")) / F.sum(weight)).alias("rps"),
-        F.sum(weight).alias("weight"),
+        F.expr(f"sum(_w * {rps_expr()}) / sum(_w) AS rps"), F.sum("_w").alias("weight")
     )
 
 
@@ -129,31 +115,23 @@ def strict_quintile(
     """
     cuts = quintile_cuts(df, by, value, bounded)
     joined = df.join(F.broadcast(cuts) if bounded else cuts, by)
-    x, n = F.col(value), F.col("n")
-    at = [F.col(f"_cut{q}") for q in range(4)]
-    level = F.lit(1)
-    for c in at:
-        level = level + F.when(c.isNull() | (c["v"] < x), 1).otherwise(0)
-    # A limit inside a tie group of more than one row needs the order inside the group.
-    split = F.exists(F.array(*[F.when(c["v"] == x, c["ties"]) for c in at]), lambda t: t > 1)
-    rows = joined.withColumn("_level", level.cast("int")).withColumn(
-        "_split", F.coalesce(split, F.lit(False))
+    level = " + ".join(f"int(_cut{q} IS NULL OR _cut{q}.v < {value})" for q in range(4))
+    tie = ", ".join(f"CASE WHEN _cut{q}.v = {value} THEN _cut{q} END" for q in range(4))
+    rows = joined.selectExpr(
+        *df.columns, "n", f"1 + {level} AS _level", f"coalesce({tie}) AS _tie"
     )
-    plain = rows.where(~F.col("_split")).select(
-        *df.columns, "n", F.col("_level").alias("quintile")
+    plain = rows.where("_tie IS NULL OR _tie.ties = 1").selectExpr(
+        *df.columns, "n", "_level AS quintile"
     )
+    # Only a tie group across a limit needs an order of its own.
+    tied = rows.where("_tie.ties > 1").withColumn("_hash", F.xxhash64(tie_key))
     group = [*by, value]
-    tied = rows.where(F.col("_split")).withColumn("_hash", F.xxhash64(tie_key))
     place = ranked_values(tied, group, "_hash").select(
         *group, "_hash", F.col("less").alias("_place")
     )
-    first = F.coalesce(*[F.when(c["v"] == x, c["less"]) for c in at])
-    position = first + F.col("_place") + 1
-    step = F.lit(1)
-    for q in range(1, 5):
-        step = step + F.when(position > threshold(n, q), 1).otherwise(0)
-    broken = tied.join(place, [*group, "_hash"]).select(
-        *df.columns, "n", step.cast("int").alias("quintile")
+    step = " + ".join(f"int(_tie.less + _place + 1 > {threshold('n', q)})" for q in range(1, 5))
+    broken = tied.join(place, [*group, "_hash"]).selectExpr(
+        *df.columns, "n", f"1 + {step} AS quintile"
     )
     return plain.unionByName(broken)
 
@@ -165,5 +143,5 @@ def quintile_frequencies(
     placed = strict_quintile(scenarios, [scenario], value, "symbol", bounded)
     return placed.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n_scenarios"),
-        *[F.avg((F.col("quintile") == q).cast("double")).alias(c) for q, c in enumerate(RANKS, 1)],
+        *[F.expr(f"avg(double(quintile = {q})) AS {c}") for q, c in enumerate(RANKS, 1)],
     )

@@ -13,7 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crossrank.operators import calendar as cal
+from crossrank.operators import forecasts as fc
+from crossrank.operators import leaderboard as lb
 from crossrank.operators import panel
+from crossrank.operators import universe as un
+from crossrank.plans import walk_forward as wf
 from crossrank.schema import RANKS
 from crossrank.staging import stage
 
@@ -22,6 +26,8 @@ GRID_PERIODS = 70
 SUBMISSION_DAYS = 112
 TEAMS = 12
 DELISTING_DATE = "1999-01-15"
+COST_BPS = 10.0
+BENCHMARK_TEAM = "T00"
 
 
 def _grid_end() -> Column:
@@ -244,6 +250,63 @@ class Panels:
         )
         return self._stage(out, "submissions")
 
+    @cached_property
+    def members(self) -> DataFrame:
+        return self._stage(un.universe(self.prices, self.origins, self.days), "members")
+
+    @cached_property
+    def members_d2(self) -> DataFrame:
+        out = un.universe(self.prices, self.origins, self.days, "d2", None, self.delistings)
+        return self._stage(out, "members_d2")
+
+    @cached_property
+    def history_forecast(self) -> DataFrame:
+        out = fc.historical_frequency(self.prices, self.origins, self.members, self.days)
+        return self._stage(out, "history_forecast")
+
+    @cached_property
+    def team_forecasts(self) -> DataFrame:
+        return self.submissions.select(
+            F.col("Team").alias("model"), "k", F.col("Symbol").alias("symbol"), *RANKS,
+            F.col("Decision").alias("weight"),
+        )
+
+    @cached_property
+    def forecasts(self) -> DataFrame:
+        """Uniform, historical frequency and the twelve teams as models."""
+        out = un.uniform_forecast(self.members).unionByName(self.history_forecast)
+        return self._stage(out.unionByName(self.team_forecasts), "forecasts")
+
+    @cached_property
+    def walk(self) -> wf.WalkForward:
+        return wf.run(
+            self.forecasts, self.prices, self.calendar, self.days, cost_bps=COST_BPS,
+            members=self.members, returns=self.returns,
+        )
+
+    @cached_property
+    def walk_d2(self) -> wf.WalkForward:
+        """The two baselines under the universe that drops delisted symbols."""
+        base = un.uniform_forecast(self.members_d2)
+        hist = fc.historical_frequency(
+            self.prices, self.origins, self.members_d2, self.days, self.delistings
+        )
+        both = self._stage(base.unionByName(hist), "forecasts_d2")
+        return wf.run(
+            both, self.prices, self.calendar, self.days, cost_bps=COST_BPS,
+            members=self.members_d2, returns=self.returns,
+        )
+
+    @cached_property
+    def competition(self) -> DataFrame:
+        return self.calendar.where("phase = 'period1'")
+
+    @cached_property
+    def team_scores(self) -> lb.Scores:
+        return lb.score_submissions(
+            self.submissions, self.prices, self.competition, self.days, self.returns
+        )
+
 
 _PANELS: dict[tuple[str, str], Panels] = {}
 
