@@ -24,7 +24,9 @@ def query(sql: str | None = None):
 def load() -> None:
     from crossrank.catalog import (  # noqa: F401
         calendars,
+        data_quality,
         evaluation,
+        learning,
         panels,
         scores,
     )

@@ -166,14 +166,20 @@ part(
     "cal",
     "days",
 )
+part(
+    "wlevel",
+    """SELECT d.date, s.symbol, s.price FROM (SELECT wb AS date FROM win UNION SELECT we FROM win) d
+    JOIN spell s ON s.date <= d.date AND s.next_date > d.date""",
+    "win",
+    "spell",
+)
 part(
     "wret",
     """SELECT w.wb, w.we, e.symbol, (e.price - b.price) / b.price AS ret
-    FROM (SELECT DISTINCT wb, we FROM win) w
-    JOIN spell e ON e.date <= w.we AND e.next_date > w.we
-    JOIN spell b ON b.symbol = e.symbol AND b.date <= w.wb AND b.next_date > w.wb""",
+    FROM (SELECT DISTINCT wb, we FROM win) w JOIN wlevel e ON e.date = w.we
+    JOIN wlevel b ON b.date = w.wb AND b.symbol = e.symbol""",
     "win",
-    "spell",
+    "wlevel",
 )
 
 
@@ -324,3 +330,137 @@ part(
     f"{average_rank_sql('-ir', 'level, period')} AS ir_rank FROM summary1))",
     "summary1",
 )
+part(
+    "fill",
+    """SELECT s.symbol, d.idx, d.day AS date, s.price FROM spell s JOIN days d
+    ON d.day >= s.date AND d.day < s.next_date""",
+    "spell",
+    "days",
+)
+part(
+    "raw",
+    """SELECT symbol, date, sk, c AS open, CASE WHEN (sk*31 + dayofyear(date)) % 97 = 0 THEN c*0.99/2 ELSE c*1.01 END AS high,
+    c*0.99 AS low, c AS close,
+    CASE WHEN sk % 13 = 1 AND date BETWEEN DATE '1999-03-01' AND DATE '1999-05-31' THEN 100.0 ELSE price * u END AS adjusted_close,
+    volume FROM (SELECT *, price * a * u AS c FROM (SELECT *,
+      CASE WHEN date < DATE '1998-01-05' AND sk % 7 = 3 THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END AS a,
+      CASE WHEN date < DATE '1998-01-05' AND sk % 11 = 5 THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END AS u FROM keyed))""",
+    "keyed",
+)
+part(
+    "second",
+    """SELECT symbol, date, ROUND(price * (1 + ((sk*7 + dn) % 5 - 2)/100000.0), 4) AS price
+    FROM (SELECT *, date - DATE '1995-01-01' AS dn FROM prices) WHERE (sk + dn) % 17 != 0""",
+    "prices",
+)
+part(
+    "exdays",
+    """SELECT exchange, date AS day FROM (
+      SELECT exchange, date, COUNT(*) AS present,
+      (SELECT COUNT(*) FROM syms s WHERE s.first_date <= r.date AND (CASE WHEN s.symbol LIKE '%.L' THEN 'LSE' ELSE 'US' END) = r.exchange) AS listed
+      FROM (SELECT date, CASE WHEN symbol LIKE '%.L' THEN 'LSE' ELSE 'US' END AS exchange FROM raw) r GROUP BY 1, 2)
+    WHERE present >= 0.2 * listed""",
+    "raw",
+    "syms",
+)
+part(
+    "ratios",
+    """SELECT * FROM (SELECT symbol, date, close / lag(close) OVER w AS close_ratio,
+    adjusted_close / lag(adjusted_close) OVER w AS adjusted_ratio FROM raw WINDOW w AS (PARTITION BY symbol ORDER BY date))
+    WHERE close_ratio IS NOT NULL""",
+    "raw",
+)
+part(
+    "sig",
+    """SELECT symbol, idx, date, lp - lag(lp, 5) OVER w AS ret_5, lp - lag(lp, 20) OVER w AS ret_20,
+    lp - lag(lp, 60) OVER w AS ret_60, lp - lag(lp, 120) OVER w AS ret_120,
+    lag(lp, 20) OVER w - lag(lp, 250) OVER w AS mom_250_20,
+    CASE WHEN COUNT(r) OVER w20 = 20 THEN STDDEV_SAMP(r) OVER w20 END AS vol_20,
+    CASE WHEN COUNT(r) OVER w60 = 60 THEN STDDEV_SAMP(r) OVER w60 END AS vol_60,
+    CASE WHEN COUNT(lp) OVER w250 >= 60 THEN lp - MAX(lp) OVER w250 END AS dist_high_250
+    FROM (SELECT symbol, idx, date, LN(price) AS lp, LN(price) - lag(LN(price)) OVER (PARTITION BY symbol ORDER BY idx) AS r FROM fill)
+    WINDOW w AS (PARTITION BY symbol ORDER BY idx), w20 AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW),
+    w60 AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 59 PRECEDING AND CURRENT ROW),
+    w250 AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 249 PRECEDING AND CURRENT ROW)""",
+    "fill",
+)
+FEATURES = "ret_5 ret_20 ret_60 ret_120 mom_250_20 vol_20 vol_60 vol_ratio dist_high_250".split()
+part(
+    "signals",
+    "SELECT *, CASE WHEN vol_60 = 0 THEN NULL ELSE vol_20 / vol_60 END AS vol_ratio FROM sig",
+    "sig",
+)
+
+
+def percent_rank_sql(source: str) -> str:
+    cols = ", ".join(
+        f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY {c}) + "
+        f"(COUNT(*) OVER (PARTITION BY date, {c}) - 1) / 2.0) / COUNT({c}) OVER (PARTITION BY date) END AS {c}"
+        for c in FEATURES
+    )
+    rounds = ", ".join(f"ROUND({c}, 12) AS {c}" for c in FEATURES)
+    return f"SELECT symbol, date, {cols} FROM (SELECT symbol, date, {rounds} FROM {source})"
+
+
+part(
+    "lastwin",
+    "SELECT DISTINCT wb, we FROM win",
+    "win",
+)
+part(
+    "basefeat",
+    percent_rank_sql("(SELECT * FROM signals WHERE date IN (SELECT wb FROM win UNION SELECT base_date FROM cal))"),
+    "signals",
+    "win",
+    "cal",
+)
+part("wtargets", targets_sql("wret", "wb, we"), "wret")
+part(
+    "samples",
+    "SELECT t.wb AS base_date, t.we AS end_date, t.symbol, "
+    + ", ".join(f"f.{c}" for c in FEATURES)
+    + ", Target1, Target2, Target3, Target4, Target5 FROM wtargets t LEFT JOIN basefeat f ON f.symbol = t.symbol AND f.date = t.wb WHERE t.n >= 5",
+    "wtargets",
+    "basefeat",
+)
+part(
+    "naive",
+    "SELECT symbol, date, "
+    + ", ".join(
+        f"CASE WHEN STDDEV_SAMP({c}) OVER w = 0 THEN NULL ELSE ({c} - AVG({c}) OVER w) / STDDEV_SAMP({c}) OVER w END AS {c}"
+        for c in FEATURES
+    )
+    + " FROM signals WINDOW w AS (PARTITION BY symbol)",
+    "signals",
+)
+part(
+    "weekly",
+    """SELECT base_date, (SELECT MAX(day) FROM days WHERE day <= base_date + 28) AS end_date FROM (
+    SELECT day AS base_date FROM days WHERE idx % 5 = 0 UNION SELECT base_date FROM cal)
+    WHERE base_date + 28 <= (SELECT MAX(day) FROM days)""",
+    "days",
+    "cal",
+)
+part(
+    "wklevel",
+    """SELECT d.date, s.symbol, s.price FROM (SELECT base_date AS date FROM weekly UNION SELECT end_date FROM weekly) d
+    JOIN spell s ON s.date <= d.date AND s.next_date > d.date""",
+    "weekly",
+    "spell",
+)
+part(
+    "wkret",
+    """SELECT w.base_date, w.end_date, e.symbol, (e.price - b.price) / b.price AS ret
+    FROM weekly w JOIN wklevel e ON e.date = w.end_date JOIN wklevel b ON b.date = w.base_date AND b.symbol = e.symbol""",
+    "weekly",
+    "wklevel",
+)
+part("wktargets", targets_sql("wkret", "base_date, end_date"), "wkret")
+part(
+    "wksamples",
+    "SELECT t.base_date, t.end_date, t.symbol, "
+    + ", ".join(f"f.{c}" for c in FEATURES)
+    + ", Target1, Target2, Target3, Target4, Target5 FROM wktargets t LEFT JOIN naive f ON f.symbol = t.symbol AND f.date = t.base_date WHERE t.n >= 5",
+    "wktargets",
+    "naive",
+)

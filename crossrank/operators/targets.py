@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crossrank.functions.draws import hash_order
 from crossrank.functions.scores import TARGETS, rps_expr, threshold, tie_share
 from crossrank.operators.ordering import Place, order_statistics, ranked_values
 from crossrank.schema import RANKS
@@ -124,7 +125,7 @@ def strict_quintile(
         *df.columns, "n", "_level AS quintile"
     )
     # Only a tie group across a limit needs an order of its own.
-    tied = rows.where("_tie.ties > 1").withColumn("_hash", F.xxhash64(tie_key))
+    tied = rows.where("_tie.ties > 1").withColumn("_hash", F.expr(hash_order(tie_key)))
     group = [*by, value]
     place = ranked_values(tied, group, "_hash").select(
         *group, "_hash", F.col("less").alias("_place")
