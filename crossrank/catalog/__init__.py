@@ -29,4 +29,5 @@ def load() -> None:
         learning,
         panels,
         scores,
+        statistics,
     )

@@ -84,14 +84,13 @@ def main() -> int:
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
     queries, sql = entry.queries(), entry.oracle_sql()
-    con = duck(folder)
     failed = 0
     for name in args or queries:
         start = time.time()
         try:
             df = queries[name](spark, folder)
             if name in sql:
-                note = compare(df, con, sql[name])
+                note = compare(df, duck(folder), sql[name])
             else:
                 note = "" if df.count() >= 0 else "?"
         except Exception as error:  # noqa: BLE001
