@@ -26,6 +26,7 @@ def load() -> None:
         calendars,
         data_quality,
         evaluation,
+        ingest,
         learning,
         panels,
         scores,

@@ -35,3 +35,19 @@ def calendar_resolved(spark, folder):
     return panels(spark, folder).calendar.select(
         "k", "label", "base", "base_date", "end_date", "n_days"
     )
+
+
+@query(
+    with_parts(
+        "dayk",
+        "SELECT k, date FROM dayk",
+    )
+)
+def period_days(spark, folder):
+    p = panels(spark, folder)
+    return cal.period_days(p.calendar, p.days).select("k", "date")
+
+
+@query(with_parts("days", "SELECT day, idx FROM days"))
+def trading_days(spark, folder):
+    return panels(spark, folder).days.select("day", "idx")

@@ -370,10 +370,3 @@ def recent_context(spark, folder):
     return rounded(cv.recent_context(p.prices, p.days, 256, 2450), log_price=9)
 
 
-@query()
-def universe_history(spark, folder):
-    """Rows, first and last date a cut at each origin leaves of every symbol."""
-    from crossrank.operators.panel import history_at
-
-    p = panels(spark, folder)
-    return history_at(p.prices, p.origins.selectExpr("origin AS date"), p.days)

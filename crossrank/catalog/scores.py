@@ -35,3 +35,46 @@ def quintile_targets_ties(spark, folder):
     return tg.quintile_targets(coarse, ["k"]).select(
         "k", "symbol", "n", *[F.round(t, 9).alias(t) for t in TARGETS]
     )
+
+
+@query(
+    with_parts(
+        "rets",
+        "SELECT k, symbol, CAST(list_position([Target1, Target2, Target3, Target4, Target5], GREATEST(Target1, Target2, Target3, Target4, Target5)) AS INTEGER) AS quintile FROM ("
+        + targets_sql("(SELECT k, symbol, ROUND(ret, 2) AS ret FROM rets)", "k")
+        + ")",
+    )
+)
+def hard_quintiles(spark, folder):
+    from crossrank.functions.scores import hard_quintile
+
+    p = panels(spark, folder)
+    coarse = p.returns.select("k", "symbol", F.round("ret", 2).alias("ret"))
+    return tg.quintile_targets(coarse, ["k"]).selectExpr(
+        "k", "symbol", f"{hard_quintile(TARGETS)} AS quintile"
+    )
+
+
+@query(
+    with_parts(
+        "rets",
+        "SELECT k, n, CASE WHEN n = 100 THEN 'official' ELSE 'proportional' END AS rule FROM (SELECT k, COUNT(*) AS n FROM rets GROUP BY 1)",
+    )
+)
+def thresholds_rule(spark, folder):
+    sizes = panels(spark, folder).returns.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.withColumn("rule", tg.thresholds_rule(F.col("n")))
+
+
+@query(
+    with_parts(
+        "subs targets",
+        f"SELECT f.Team AS model, f.k, f.Symbol AS symbol, ROUND({rps_sql()}, 9) AS rps FROM subs f JOIN targets t USING (k, symbol)",
+    )
+)
+def rps_per_asset(spark, folder):
+    p = panels(spark, folder)
+    scored = tg.rps_per_asset(
+        p.team_forecasts, tg.quintile_targets(p.returns, ["k"]), ["k", "symbol"]
+    )
+    return scored.select("model", "k", "symbol", F.round("rps", 9).alias("rps"))
