@@ -24,6 +24,7 @@ def query(sql: str | None = None):
 def load() -> None:
     from crossrank.catalog import (  # noqa: F401
         calendars,
+        cascades,
         data_quality,
         evaluation,
         ingest,
