@@ -9,7 +9,9 @@ are counted before they are shuffled, so a value shared by a third of the rows i
 
 ``bounded`` says that the groups are keyed by the calendar (dates, periods, windows), whose
 number is limited by the days covered and not by the data; then the sketches (a few doubles
-per group) are broadcast.  Otherwise Spark decides from their size.
+per group) are broadcast.  Otherwise they are staged first, so that Spark knows their size
+when it plans: small ones are broadcast and hot groups are never shuffled by their key, large
+ones mean many groups and are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crossrank.staging import stage
+
 BUCKETS = 32
 _ACCURACY = 2000
 _SLACK = 1.5 / _ACCURACY
@@ -33,7 +37,7 @@ class Place:
 
 
 def _hint(df: DataFrame, bounded: bool) -> DataFrame:
-    return F.broadcast(df) if bounded else df
+    return F.broadcast(df) if bounded else stage(df, "sketch")
 
 
 def _clip(level: float) -> float:
@@ -156,7 +160,8 @@ def ranked_values(
             f"sum(_rows) OVER (PARTITION BY {group}) AS n",
         )
     )
-    return binned.join(_hint(offset, bounded), [*by, "_bucket"]).selectExpr(
+    # Joined on the keys the window below sorts by, so it adds no shuffle of its own.
+    return binned.join(F.broadcast(offset) if bounded else offset, [*by, "_bucket"]).selectExpr(
         *by,
         value,
         "ties",

@@ -41,19 +41,17 @@ def daily_log_returns(
         .join(F.broadcast(inside.select("k", "date")), "date")
         .join(held, ["k", "symbol"])
     )
-    sums = moved.groupBy(*ids, "k", "date").agg(
-        F.sum(F.col("weight") * F.col("ret")).alias("_sum"), F.max("_starts").alias("_starts")
-    )
+    part = moved.selectExpr(*ids, "k", "date", "weight * ret AS _part", "_starts")
     empty = (
         held.select(*ids, "k")
         .distinct()
         .join(F.broadcast(inside.select("k", "date")), "k")
-        .select(*ids, "k", "date", F.lit(0.0).alias("_sum"), F.lit(False).alias("_starts"))
+        .selectExpr(*ids, "k", "date", "0D AS _part", "false AS _starts")
     )
     every = (
-        sums.unionByName(empty)
+        part.unionByName(empty)
         .groupBy(*ids, "k", "date")
-        .agg(F.sum("_sum").alias("_sum"), F.max("_starts").alias("_starts"))
+        .agg(F.sum("_part").alias("_sum"), F.max("_starts").alias("_starts"))
     )
     keys = ", ".join([*ids, "k"])
     return every.selectExpr(

@@ -232,6 +232,7 @@ def compare_periods(a: DataFrame, b: DataFrame, periods: DataFrame) -> DataFrame
     Periods whose edges are not common dates are left out.
     """
     _, _, a, b = _common(a, b)
+    a, b = stage(a, "common_a", "symbol"), stage(b, "common_b", "symbol")
     days = {"a": stage(trading_days(a), "days_a"), "b": stage(trading_days(b), "days_b")}
     kept = periods
     for known in days.values():

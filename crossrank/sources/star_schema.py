@@ -57,14 +57,13 @@ class Panels:
         splits = self._line().select("l_suppkey").rdd.getNumPartitions()
         return max(splits, self.spark.sparkContext.defaultParallelism)
 
-    def _stage(self, df: DataFrame, label: str, by_symbol: bool = False) -> DataFrame:
-        if by_symbol:
-            return stage(df, label, "symbol", self._buckets)
+    def _stage(self, df: DataFrame, label: str) -> DataFrame:
         return stage(df, label)
 
     @cached_property
     def prices(self) -> DataFrame:
-        return self._stage(self.ohlcv.select("symbol", "date", F.col("level").alias("price")), "prices", True)
+        """A projection of the bucketed raw table: two numeric columns are read, not all."""
+        return self.ohlcv.select("symbol", "date", F.col("level").alias("price"))
 
     @cached_property
     def ohlcv(self) -> DataFrame:
@@ -79,8 +78,10 @@ class Panels:
                 F.sum("l_quantity").alias("volume"),
             )
         )
-        path = Window.partitionBy("l_suppkey").orderBy("date")
+        # Placed by symbol once: the running sum and the bucketed write share this shuffle.
         sk = F.col("l_suppkey")
+        day = day.withColumn("symbol", symbol_of(sk)).repartition(self._buckets, "symbol")
+        path = Window.partitionBy("symbol").orderBy("date")
         level = F.round(F.lit(100.0) * F.exp(F.sum("step").over(path) / F.lit(50000.0)), 4)
         early = F.col("date") < F.lit("1998-01-05").cast("date")
         unadjusted = F.when(early & (sk % 11 == 5), 4.0).otherwise(1.0)
@@ -103,7 +104,7 @@ class Panels:
             )
         )
         out = raw.select(
-            symbol_of(sk).alias("symbol"),
+            "symbol",
             "date",
             F.col("close").alias("open"),
             "high",
@@ -113,7 +114,7 @@ class Panels:
             "volume",
             "level",
         )
-        return self._stage(out, "ohlcv", True)
+        return stage(out, "ohlcv", "symbol", self._buckets, placed=True)
 
     @cached_property
     def days(self) -> DataFrame:

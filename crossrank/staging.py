@@ -32,8 +32,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage(
-    df: DataFrame, label: str, bucket_by: str | None = None, buckets: int | None = None
+    df: DataFrame,
+    label: str,
+    bucket_by: str | None = None,
+    buckets: int | None = None,
+    placed: bool = False,
 ) -> DataFrame:
+    """Write ``df`` and read it back.
+
+    ``placed`` says the rows already sit in ``buckets`` hash partitions of ``bucket_by``, so
+    the write needs no shuffle of its own.
+    """
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex[:12]}"
     path = f"{shared_folder(spark)}/crossrank/{name}"
@@ -41,9 +50,9 @@ def stage(
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     n = buckets or spark.sparkContext.defaultParallelism
+    rows = df if placed else df.repartition(n, bucket_by)
     (
-        df.repartition(n, bucket_by)
-        .write.bucketBy(n, bucket_by)
+        rows.write.bucketBy(n, bucket_by)
         .sortBy(bucket_by)
         .format("parquet")
         .option("path", path)
