@@ -11,6 +11,7 @@ from crossrank.operators import portfolio as pf
 from crossrank.operators import targets as tg
 from crossrank.operators.calendar import COMPETITION_PERIODS
 from crossrank.operators.ordering import with_rank
+from crossrank.operators.panel import require_empty
 from crossrank.schema import RANKS
 from crossrank.staging import stage
 
@@ -25,20 +26,23 @@ class Scores:
 
 
 def score_submissions(
-    submissions: DataFrame, prices: DataFrame, periods: DataFrame, days: DataFrame, returns: DataFrame
+    submissions: DataFrame, prices: DataFrame, periods: DataFrame, days: DataFrame,
+    returns: DataFrame, validate: bool = True,
 ) -> Scores:
     """RPS, daily log returns and freshness of every active team and period.
 
-    ``submissions`` carries the period number ``k`` of its Evaluation.
+    ``submissions`` carries the period number ``k`` of its Evaluation.  A team that lacks a
+    priced symbol of a period it is scored in fails the job.
     """
     active = submissions.where("IsActive = 1").join(F.broadcast(periods.select("k")), "k", "left_semi")
     rows = active.selectExpr(
         "Team AS team", "k", "Symbol AS symbol", *RANKS, "Decision AS weight",
         "Submission = Evaluation AS fresh",
     )
-    targets = tg.quintile_targets(
-        returns.join(F.broadcast(periods.select("k")), "k", "left_semi"), ["k"]
-    )
+    priced = returns.join(F.broadcast(periods.select("k")), "k", "left_semi")
+    if validate:
+        require_empty(pf.missing_weights(rows, priced, ["team"]), "submissions lack priced symbols")
+    targets = tg.quintile_targets(priced, ["k"])
     scored = tg.rps_per_asset(rows, targets, ["k", "symbol"])
     table = scored.groupBy("team", "k").agg(
         F.avg("rps").alias("rps"), F.expr("bool_and(fresh)").alias("fresh")

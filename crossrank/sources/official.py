@@ -9,7 +9,7 @@ from crossrank.schema import RANKS, all_strings, nan_to_null
 
 # Ticker renamed after the template was published; names of the levels.
 TEMPLATE_RENAMES = {"FB": "META"}
-NBSP = " "
+NBSP = "\u00a0"
 
 
 def _text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
