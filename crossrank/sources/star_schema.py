@@ -30,10 +30,6 @@ COST_BPS = 10.0
 BENCHMARK_TEAM = "T00"
 
 
-def _grid_end() -> Column:
-    return F.date_add(F.lit(GRID_ORIGIN).cast("date"), cal.PERIOD_DAYS * GRID_PERIODS)
-
-
 def symbol_of(key: Column) -> Column:
     name = F.concat(F.lit("S"), key.cast("string"))
     return F.when(key % 5 == 0, F.concat(name, F.lit(".L"))).otherwise(name)
@@ -186,8 +182,14 @@ class Panels:
         slot = F.ceil(F.datediff(shipped, base) / F.lit(float(cal.PERIOD_DAYS))).cast("int")
         band = F.floor((F.col("l_quantity") - 1) / F.lit(10.0)).cast("int")
         raw = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", -1).otherwise(0)
+        # The same bounds as on the slot, on the stored column so that the scan can skip files.
+        first = F.lit(GRID_ORIGIN).cast("timestamp") - F.expr(f"INTERVAL {SUBMISSION_DAYS - 1} DAYS")
+        last = F.lit(GRID_ORIGIN).cast("timestamp") + F.expr(
+            f"INTERVAL {cal.PERIOD_DAYS * (GRID_PERIODS - 1) + 1} DAYS"
+        )
         per_slot = (
             self._line()
+            .where((F.col("l_shipdate") >= first) & (F.col("l_shipdate") < last))
             .select(
                 (F.col("l_partkey") % TEAMS).cast("int").alias("team"),
                 F.col("l_suppkey").alias("sk"),

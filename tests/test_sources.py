@@ -21,19 +21,19 @@ def frame(spark, symbol, dates, prices):
 def test_manifest_picks_the_latest_snapshot(spark, tmp_path):
     content = b"hello"
     (tmp_path / "data").mkdir()
-    (tmp_path / "data" / "assets_m6_2026-09-28.parquet").write_bytes(content)
-    files = [{"path": "data/assets_m6_2026-09-28.parquet", "sha256": hashlib.sha256(content).hexdigest(), "bytes": 5},
+    (tmp_path / "data" / "assets_2026-09-28.parquet").write_bytes(content)
+    files = [{"path": "data/assets_2026-09-28.parquet", "sha256": hashlib.sha256(content).hexdigest(), "bytes": 5},
              {"path": "data/gone_2026-09-28.parquet", "sha256": "00", "bytes": 1}]
-    document = {"snapshots": [{"name": "m6", "downloaded": "2026-01-01", "files": []}, {"name": "m6", "downloaded": "2026-09-28", "files": files}]}
+    document = {"snapshots": [{"name": "official", "downloaded": "2026-01-01", "files": []}, {"name": "official", "downloaded": "2026-09-28", "files": files}]}
     (tmp_path / "manifest.json").write_text(json.dumps(document, indent=2))
     manifest = snapshots.read_manifest(spark, str(tmp_path / "manifest.json"))
-    entry = snapshots.snapshot(manifest, "m6")
+    entry = snapshots.snapshot(manifest, "official")
     assert entry.first()["downloaded"] == "2026-09-28"
-    assert snapshots.snapshot(manifest, "m6", "2026-01-01").first()["downloaded"] == "2026-01-01"
+    assert snapshots.snapshot(manifest, "official", "2026-01-01").first()["downloaded"] == "2026-01-01"
     with pytest.raises(Exception, match="no snapshot other"):
         snapshots.snapshot(manifest, "other").collect()
     listed = snapshots.snapshot_files(entry)
-    assert {r["stored"] for r in listed.collect()} == {"assets_m6", "gone"}
+    assert {r["stored"] for r in listed.collect()} == {"assets", "gone"}
     bad = snapshots.checksum_audit(spark, listed, str(tmp_path)).collect()
     assert [(r["stored"], r["actual"]) for r in bad] == [("gone", None)]
 
