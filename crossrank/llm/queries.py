@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from crossrank.llm import mixing, quality_rules, sql, url_filter
+from crossrank.llm import archives, decontaminate, html_extract, mixing, quality_rules, sql, url_filter
 from crossrank.llm.common import table
+from crossrank.staging import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,6 +30,11 @@ def op1_mixing(spark, folder):
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query(sql.DECONTAMINATION)
+def op3_decontamination(spark, folder):
+    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query(sql.QUALITY_RULES)
 def op5_quality_rules(spark, folder):
     return quality_rules.judge(table(spark, folder, "documents"))
@@ -36,3 +44,20 @@ def op5_quality_rules(spark, folder):
 def op8_url_filter(spark, folder):
     rules = url_filter.rules_table(spark, url_filter.RULES)
     return url_filter.judge(table(spark, folder, "pages"), rules)
+
+
+@query(sql.ARCHIVES)
+def op9_archives(spark, folder):
+    """Pages as ARC files, converted to WARC files, read back."""
+    base = f"{shared_folder(spark)}/crossrank/archives_{uuid.uuid4().hex[:12]}"
+    archives.write_arc(table(spark, folder, "pages"), f"{base}/arc")
+    archives.write_warc(archives.convert(spark, f"{base}/arc"), f"{base}/warc")
+    digest = F.when(F.col("ok"), F.col("payload_digest")).otherwise(F.raise_error("a payload differs from its digest"))
+    return archives.read_warc(spark, f"{base}/warc").select(
+        "page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to"
+    )
+
+
+@query()
+def op10_html_extraction(spark, folder):
+    return html_extract.extract(table(spark, folder, "pages"))

@@ -57,6 +57,37 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM drawn
 """
 
+DECONTAMINATION = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS w
+    FROM documents
+), items AS (
+    SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id,
+           regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS w
+    FROM benchmark
+), patterns AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size,
+           array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS g
+    FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), grams AS (
+    SELECT rid, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS g
+    FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i
+          FROM docs, (SELECT DISTINCT size FROM patterns) WHERE len(w) >= size)
+), found AS (
+    SELECT rid, i, p.size, item_id FROM grams JOIN patterns p USING (g) WHERE grams.size = p.size
+), hit AS (
+    SELECT rid, count(DISTINCT word) AS n FROM (SELECT rid, unnest(range(i, i + size)) AS word FROM found) GROUP BY rid
+), named AS (
+    SELECT rid, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids
+    FROM found GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(i.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(h.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit h USING (rid) LEFT JOIN named i USING (rid)
+"""
+
 QUALITY_RULES = rf"""
 WITH docs AS (
     SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text,
@@ -153,3 +184,17 @@ FROM matched LEFT JOIN hosts USING (host)
 
 
 URL_FILTER = _url_filter()
+
+ARCHIVES = """
+WITH payloads AS (
+    SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), firsts AS (
+    SELECT page_id, octet_length(body) AS size, sha256(body) AS digest,
+           min(page_id) OVER (PARTITION BY body) AS first_id
+    FROM payloads
+)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN size >= 100 AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN size >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM firsts
+"""
