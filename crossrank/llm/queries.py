@@ -6,7 +6,18 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from crossrank.llm import archives, decontaminate, html_extract, mixing, quality_rules, sql, url_filter
+from crossrank.llm import (
+    archives,
+    decontaminate,
+    html_extract,
+    license_scan,
+    line_dedup,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    sql,
+    url_filter,
+)
 from crossrank.llm.common import table
 from crossrank.staging import shared_folder
 
@@ -30,6 +41,12 @@ def op1_mixing(spark, folder):
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query(sql.LINE_DEDUP)
+def op2_line_dedup(spark, folder):
+    docs = line_dedup.dedup(table(spark, folder, "documents"))
+    return docs.select("doc_id", "text", "n_lines", "n_removed")
+
+
 @query(sql.DECONTAMINATION)
 def op3_decontamination(spark, folder):
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -40,6 +57,22 @@ def op5_quality_rules(spark, folder):
     return quality_rules.judge(table(spark, folder, "documents"))
 
 
+@query(sql.LICENSE_SCAN)
+def op6_license_scan(spark, folder):
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
+@query()
+def op7_quality_classifier(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = quality_classifier.train(docs, table(spark, folder, "labels"))
+    scored = docs.select(
+        "doc_id", F.coalesce(quality_classifier.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        quality_classifier.scorer(model)("text").alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @query(sql.URL_FILTER)
 def op8_url_filter(spark, folder):
     rules = url_filter.rules_table(spark, url_filter.RULES)

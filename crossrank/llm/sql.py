@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from crossrank.llm.license_scan import template_rows
 from crossrank.llm.url_filter import DAMPING, ROUNDS, RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,6 +58,30 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM drawn
 """
 
+LINE_DEDUP = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS site, text,
+           string_split(coalesce(text, ''), chr(10)) AS parts
+    FROM documents
+), placed AS (
+    SELECT rid, doc_id, site, i, parts[i] AS line,
+           trim(regexp_replace(translate(parts[i], '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g')) AS normal
+    FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM docs)
+), boilerplate AS (
+    SELECT normal, min(doc_id) AS owner FROM placed
+    WHERE len(regexp_extract_all(normal, '{WORD}')) >= 4
+    GROUP BY normal HAVING count(DISTINCT site) >= 8
+), judged AS (
+    SELECT p.*, b.normal IS NOT NULL AND (p.doc_id IS DISTINCT FROM b.owner
+               OR row_number() OVER (PARTITION BY p.rid, p.normal ORDER BY i) > 1) AS gone
+    FROM placed p LEFT JOIN boilerplate b USING (normal)
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL
+                      ELSE coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') END AS text,
+       CASE WHEN d.text IS NULL THEN 0 ELSE count(*) END AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed
+FROM judged j JOIN docs d USING (rid) GROUP BY rid, d.doc_id, d.text
+"""
+
 DECONTAMINATION = rf"""
 WITH docs AS (
     SELECT row_number() OVER () AS rid, doc_id,
@@ -198,3 +223,51 @@ SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
        CASE WHEN size >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM firsts
 """
+
+
+def _license_scan() -> str:
+    rows = ", ".join(f"('{label}', {base}, {size}, '{gram}', {pos})" for label, base, size, gram, pos in template_rows())
+    return rf"""
+WITH templates(label, base, size, gram, t_pos) AS (VALUES {rows}),
+docs AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS w
+    FROM documents
+), grams AS (
+    SELECT rid, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS gram
+    FROM (SELECT rid, w, unnest(range(1, len(w))) AS i FROM docs)
+), hits AS (
+    SELECT DISTINCT rid, label, base, size, pos - t_pos AS diagonal, t_pos FROM grams JOIN templates USING (gram)
+), places AS (
+    SELECT rid, label, diagonal AS place, 1.0::DOUBLE AS cover FROM hits WHERE base
+    GROUP BY rid, label, size, diagonal HAVING count(*) = size - 1
+), islands AS (
+    SELECT *, sum(fresh) OVER (PARTITION BY rid, label ORDER BY diagonal
+                               RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island
+    FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w BETWEEN 0 AND 2 THEN 0 ELSE 1 END AS fresh
+          FROM hits WHERE NOT base WINDOW w AS (PARTITION BY rid, label ORDER BY diagonal, t_pos))
+), spans AS (
+    SELECT rid, label, size, count(DISTINCT t_pos)::DOUBLE / (size - 1) AS cover,
+           max(diagonal + t_pos + 1) - min(diagonal + t_pos) + 1 AS length
+    FROM islands GROUP BY rid, label, size, island
+    UNION ALL
+    SELECT rid, label, size, count(DISTINCT t_pos)::DOUBLE / (size - 1),
+           max(diagonal + t_pos + 1) - min(diagonal + t_pos) + 1
+    FROM islands GROUP BY rid, label, size, diagonal
+), found AS (
+    SELECT rid, label, place, cover FROM places
+    UNION ALL SELECT rid, label, NULL, cover FROM spans WHERE cover >= 0.8::DOUBLE AND length <= size * 1.25::DOUBLE + 2
+), summed AS (
+    SELECT rid, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word,
+           string_agg(DISTINCT label, ',' ORDER BY label) FILTER (place IS NOT NULL) AS base_labels,
+           string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score
+    FROM found GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM docs LEFT JOIN summed USING (rid)
+"""
+
+
+LICENSE_SCAN = _license_scan()
