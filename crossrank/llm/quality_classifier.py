@@ -36,7 +36,8 @@ BUCKETS = 1 << 14
 DIM = 8
 NGRAMS = (1, 2, 3)
 MAX_ROWS = 4000
-EPOCHS = 12
+EPOCHS = 8
+SMOOTH = 40.0  # featureless mass: very short texts stay near the bias
 RATE = 0.5
 CACHE = 400_000
 
@@ -118,7 +119,7 @@ def fit(rows: list, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) ->
         b, c = np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.float32)
         order = np.argsort(b)
         c = c[order]
-        documents.append((b[order], c / max(c.sum(), 1.0)))
+        documents.append((b[order], c / (c.sum() + SMOOTH)))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     output = np.zeros((2, DIM), dtype=np.float32)
@@ -170,7 +171,7 @@ def scorer(model: Model):
                 again = 8 * sum(map(operator.eq, words, words[1:]))
                 n = 2 * len(words) + len(NGRAMS) * sum(map(len, words)) + again
                 total = sum(map(known.__getitem__, words)) + again * repeat
-                out.append(total / n + bias if n else bias)
+                out.append(total / (n + SMOOTH) + bias)
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, dtype=float), -40, 40))))
 
     return score

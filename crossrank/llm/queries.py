@@ -15,6 +15,7 @@ from crossrank.llm import (
     mixing,
     quality_classifier,
     quality_rules,
+    shingle_join,
     sql,
     url_filter,
 )
@@ -52,6 +53,11 @@ def op3_decontamination(spark, folder):
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query(sql.SHINGLE_JOIN)
+def op4_shingle_join(spark, folder):
+    return shingle_join.near_duplicates(table(spark, folder, "documents"))
+
+
 @query(sql.QUALITY_RULES)
 def op5_quality_rules(spark, folder):
     return quality_rules.judge(table(spark, folder, "documents"))

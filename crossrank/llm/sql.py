@@ -271,3 +271,29 @@ FROM docs LEFT JOIN summed USING (rid)
 
 
 LICENSE_SCAN = _license_scan()
+
+SHINGLE_JOIN = rf"""
+WITH RECURSIVE docs AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w
+    FROM documents
+), shingles AS MATERIALIZED (
+    SELECT DISTINCT rid, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+    FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+), sizes AS MATERIALIZED (
+    SELECT rid, count(*) AS n FROM shingles GROUP BY rid
+), met AS (
+    SELECT a.rid AS x, b.rid AS y, count(*) AS shared
+    FROM shingles a JOIN shingles b ON a.g = b.g AND a.rid <> b.rid GROUP BY a.rid, b.rid
+), links AS MATERIALIZED (
+    SELECT x, y FROM met JOIN sizes a ON x = a.rid JOIN sizes b ON y = b.rid
+    WHERE 100 * shared >= 80 * (a.n + b.n - shared)
+), reach(rid, other) AS (
+    SELECT rid, rid FROM docs
+    UNION
+    SELECT r.rid, l.y FROM reach r JOIN links l ON r.other = l.x
+)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM docs d JOIN reach r USING (rid) JOIN docs o ON o.rid = r.other LEFT JOIN sizes s ON s.rid = d.rid
+GROUP BY d.rid, d.doc_id
+"""
