@@ -15,10 +15,11 @@ is at a Jaccard similarity of 0.8.  All tokens are 64-bit hashes in one global o
    combinations of two frequent tokens that are neighbours in the order, over a prefix extended to
    0.4 times its size.  With D tokens not shared, D + 2 shared ones have a neighbouring pair that
    both sets see as neighbours, and D + 2 shared ones lie within that prefix: no link is lost.
-4. ``star_pairs``: each key's most complete member is compared with the others, so a group of
-   thousands costs one comparison a member.  ``cross_pairs`` then lists, for keys whose members
-   are still in different components, the remaining pairs of different components that their sizes
-   allow, in blocks of bounded size.
+4. ``clusters``: each key's most complete member is its centre and is compared with the others, so
+   a group of thousands costs one comparison a member.  For centres whose members are then still
+   in different components, ``cross_pairs`` bounds the overlap of each pair of different components
+   from what both share with the centre and what they have besides, by parts of the hash range,
+   in blocks of bounded size; only pairs the bound allows go on.
 5. Every pair is verified on the whole sets (tokens that occur once cannot overlap), and
    ``components`` joins links by alternating large-star and small-star rounds.
 
@@ -47,7 +48,8 @@ ship(__name__)
 
 WIDTH = 5
 RARE = 16  # tokens in more members than this are combined
-BLOCK = 256  # members of one key compared in one task
+BLOCK = 256  # members of one centre bounded in one task
+PARTS = 32  # parts of the hash range in the bound
 FLUSH = 2_000_000  # tokens counted together within a task
 CACHE = 500_000
 BROADCAST_ROWS = 1_000_000  # 16 bytes each
@@ -99,11 +101,6 @@ def _linked(overlap: Column, n: Column, m: Column) -> Column:
     return 9 * overlap >= 4 * (n + m)
 
 
-def _may_link(n: Column, live: Column, m: Column, live_m: Column) -> Column:
-    """Sizes and numbers of tokens that occur elsewhere allow a link."""
-    return (9 * F.least(live, live_m) >= 4 * (n + m)) & (5 * F.least(n, m) >= 4 * F.greatest(n, m))
-
-
 # ---- steps ---------------------------------------------------------------------------------
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -207,7 +204,7 @@ def whole_sets(docs: DataFrame, measured: DataFrame, chosen: DataFrame) -> DataF
 def members(whole: DataFrame) -> DataFrame:
     """sig, n, live, tokens (those in other entities too) and index keys of each entity left."""
     rows = whole.select("sig", "n", F.explode("tokens").alias("token"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = stage(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared_tokens")
     lists = rows.join(shared, "token").groupBy("sig").agg(
         F.max("n").alias("n"), F.collect_set(F.struct("df", "token")).alias("t")
     )
@@ -235,51 +232,87 @@ def members(whole: DataFrame) -> DataFrame:
     return lists.mapInPandas(index, "sig long, n long, live long, tokens array<long>, keys array<long>")
 
 
-def star_pairs(entries: DataFrame) -> DataFrame:
-    """a, b: every member with the most complete partner that one of its keys offers."""
+def clusters(entries: DataFrame) -> DataFrame:
+    """sig, centre: every member with the most complete member of each of its keys, itself too."""
     share = F.col("live") / F.col("n")
-    centres = entries.groupBy(F.col("key").alias("k")).agg(
-        F.max(F.struct(share.alias("share"), "sig", "n", "live")).alias("c"), F.count("*").alias("times")
-    ).where("times > 1")
-    offers = entries.join(centres, F.col("key") == F.col("k")).where(
-        (F.col("sig") != F.col("c.sig")) & _may_link(F.col("n"), F.col("live"), F.col("c.n"), F.col("c.live"))
+    centres = stage(
+        entries.groupBy(F.col("key").alias("k")).agg(
+            F.max(F.struct(share.alias("share"), "sig"))["sig"].alias("centre"), F.count("*").alias("times")
+        ).where("times > 1").select("k", "centre"),
+        "centres",
+    )
+    return entries.join(centres, F.col("key") == F.col("k")).select("sig", "centre").distinct()
+
+
+def compared(pairs: DataFrame, index: DataFrame) -> DataFrame:
+    """sig, centre, n, live, linked, inside, outside for every row of ``clusters``.
+
+    ``inside`` counts the member's tokens that its centre has too, by ``PARTS`` parts of the hash
+    range, ``outside`` the others; two members share at most the sum of the smaller counts.
+    """
+    side = index.select("sig", "n", "tokens")
+    a = side.withColumnsRenamed({"sig": "sa", "tokens": "ta"})
+    b = side.withColumnsRenamed({"sig": "sb", "n": "nb", "tokens": "tb"})
+    joined = pairs.join(a, F.col("sig") == F.col("sa")).join(b, F.col("centre") == F.col("sb"))
+
+    def profile(batches):
+        for batch in batches:
+            out = []
+            for sig, centre, n, m, x, y in batch.itertuples(index=False, name=None):
+                x = np.asarray(x, np.int64)
+                common = np.isin(x, y, assume_unique=True)
+                part = x & (PARTS - 1)
+                shared = int(common.sum())
+                out.append((
+                    sig, centre, n, len(x), sig != centre and 9 * shared >= 4 * (n + m),
+                    np.bincount(part[common], minlength=PARTS).astype(np.int32).tobytes(),
+                    np.bincount(part[~common], minlength=PARTS).astype(np.int32).tobytes(),
+                ))
+            yield pd.DataFrame(out, columns=["sig", "centre", "n", "live", "linked", "inside", "outside"])
+
+    return joined.select("sig", "centre", "n", "nb", "ta", "tb").mapInPandas(
+        profile, "sig long, centre long, n long, live long, linked boolean, inside binary, outside binary"
     )
-    return offers.groupBy(F.col("sig").alias("a")).agg(F.max(F.struct("c.share", "c.sig"))["sig"].alias("b"))
 
 
-def cross_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b: pairs that share a key, may link, and are in different components so far."""
-    named = entries.join(labels.withColumnsRenamed({"u": "lu", "v": "lv"}), F.col("sig") == F.col("lu"), "left").select(
-        "key", "sig", "n", "live", F.coalesce("lv", "sig").alias("comp")
+def cross_pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: pairs with a centre in common that may link and are in different components so far."""
+    named = rows.join(labels.withColumnsRenamed({"u": "lu", "v": "lv"}), F.col("sig") == F.col("lu"), "left").select(
+        "centre", "sig", "n", "live", "inside", "outside", F.coalesce("lv", "sig").alias("comp")
     )
-    open_keys = (
-        named.groupBy(F.col("key").alias("k"))
+    open_clusters = stage(
+        named.groupBy(F.col("centre").alias("k"))
         .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("times"))
         .where("lo < hi")
-        .select("k", F.ceil(F.col("times") / BLOCK).cast("int").alias("blocks"))
+        .select("k", F.ceil(F.col("times") / BLOCK).cast("int").alias("blocks")),
+        "open_clusters",
     )
     own = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
-    spread = named.join(open_keys, F.col("key") == F.col("k")).withColumn("own", own).withColumn(
+    spread = named.join(open_clusters, F.col("centre") == F.col("k")).withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
-    lists = spread.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
-        F.collect_list("sig").alias("sig"), F.collect_list("n").alias("n"),
-        F.collect_list("live").alias("live"), F.collect_list("comp").alias("comp"),
+    lists = spread.groupBy("centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
+        F.collect_list(F.struct("sig", "n", "live", "comp", "inside", "outside")).alias("rows")
     )
+    lists = lists.select(*[F.col(f"rows.{c}").alias(c) for c in ("sig", "n", "live", "comp", "inside", "outside")])
 
     def pairs(batches):
         for batch in batches:
-            for sig, n, live, comp in zip(batch["sig"], batch["n"], batch["live"], batch["comp"]):
+            for sig, n, live, comp, inside, outside in batch.itertuples(index=False, name=None):
                 sig, n, live, comp = (np.asarray(x, np.int64) for x in (sig, n, live, comp))
-                both = n[:, None] + n[None, :]
-                can = (9 * np.minimum.outer(live, live) >= 4 * both) & (
+                needed = 4 * (n[:, None] + n[None, :])
+                can = (9 * np.minimum.outer(live, live) >= needed) & (
                     5 * np.minimum.outer(n, n) >= 4 * np.maximum.outer(n, n)
                 ) & (comp[:, None] != comp[None, :]) & (sig[:, None] < sig[None, :])
                 a, b = np.nonzero(can)
-                if len(a):
-                    yield pd.DataFrame({"a": sig[a], "b": sig[b]})
+                if not len(a):
+                    continue
+                counts = [np.frombuffer(b"".join(x), np.int32).reshape(-1, PARTS) for x in (inside, outside)]
+                most = sum(np.minimum.outer(c[:, k], c[:, k]) for c in counts for k in range(PARTS))
+                keep = 9 * most[a, b] >= needed[a, b]
+                yield pd.DataFrame({"a": sig[a[keep]], "b": sig[b[keep]]})
 
-    return lists.select("sig", "n", "live", "comp").mapInPandas(pairs, "a long, b long").distinct()
+    return lists.mapInPandas(pairs, "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, index: DataFrame) -> DataFrame:
@@ -329,8 +362,9 @@ def links(docs: DataFrame, measured: DataFrame) -> DataFrame:
     chosen = stage(survivors(docs), "survivors")
     index = stage(members(stage(whole_sets(docs, measured, chosen), "whole_sets")), "members")
     entries = index.select("sig", "n", "live", F.explode("keys").alias("key"))
-    star = stage(verify(star_pairs(entries), index), "star_links")
-    crossing = stage(cross_pairs(entries, components(star)), "cross_pairs")
+    rows = stage(compared(clusters(entries), index), "clusters")
+    star = rows.where("linked").select(F.col("sig").alias("a"), F.col("centre").alias("b"))
+    crossing = stage(cross_pairs(rows, components(star)), "cross_pairs")
     return star.unionByName(verify(crossing, index))
 
 
@@ -341,7 +375,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = measured.join(roots, F.col("sig") == F.col("u"), "left").select(
         "doc_id", "n", F.coalesce("v", "sig").alias("comp")
     )
-    lowest = named.where("comp is not null").groupBy(F.col("comp").alias("c")).agg(F.min("doc_id").alias("lowest"))
+    lowest = stage(
+        named.where("comp is not null").groupBy(F.col("comp").alias("c")).agg(F.min("doc_id").alias("lowest")), "lowest_ids"
+    )
     return named.join(lowest, F.col("comp") == F.col("c"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"),
