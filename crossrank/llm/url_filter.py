@@ -58,12 +58,14 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
     hosts = rows.select("host").distinct().withColumn("suffix", F.explode(suffixes))
-    fitting = (
+    # Staged with its size known: pages are shuffled by host only if there are very many hosts.
+    fitting = stage(
         hosts.join(rules, F.col("suffix") == F.col("rule_host"))
         .groupBy(F.col("host").alias("h"))
         .agg(F.sort_array(F.collect_set(F.struct(
             (F.length("rule_host") + F.length("rule_path")).alias("size"), F.length("rule_host").alias("host_size"),
-            "rule_host", "rule_path", "rule_verdict")), asc=False).alias("rules"))
+            "rule_host", "rule_path", "rule_verdict")), asc=False).alias("rules")),
+        "host_rules",
     )
     best = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["rule_path"])), 0)
     return rows.join(fitting, F.col("host") == F.col("h"), "left").select(
@@ -132,10 +134,10 @@ def judge(pages: DataFrame, rules: DataFrame, threshold: float = 0.02, rounds: i
     """One row per page: page_id, host, path, rule, verdict, trust, distrust."""
     matched = stage(match_rules(pages, rules), "url_rules")
     scores = propagate(host_edges(pages), seeds(matched), rounds)
-    per_host = scores.groupBy(F.col("host").alias("h")).agg(
+    per_host = stage(scores.groupBy(F.col("host").alias("h")).agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"),
-    )
+    ), "host_trust")
     trust = F.coalesce("trust", F.lit(0.0))
     distrust = F.coalesce("distrust", F.lit(0.0))
     blocked = (distrust > threshold) & (distrust > trust)
