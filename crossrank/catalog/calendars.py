@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from crossrank.catalog import query
 from crossrank.catalog.fragments import with_parts
 from crossrank.operators import calendar as cal
@@ -20,8 +18,7 @@ from crossrank.sources.star_schema import GRID_ORIGIN, panels
 )
 def calendar_grid(spark, folder):
     p = panels(spark, folder)
-    last = p.days.select(F.max("last_day")).first()[0]
-    return cal.period_grid(spark, GRID_ORIGIN, last).where("k < 70")
+    return cal.period_grid(spark, GRID_ORIGIN, p.last_day)
 
 
 @query(

@@ -325,6 +325,6 @@ def uniform_rps(spark, folder):
     from crossrank.operators import targets as tg
 
     p = panels(spark, folder)
-    targets = tg.quintile_targets(p.returns, ["k"])
+    targets = tg.quintile_targets(p.returns, ["k"], bounded=True)
     scored = tg.rps_per_asset(un.uniform_forecast(p.members), targets, ["k", "symbol"])
     return rounded(tg.mean_rps(scored, ["k"]), rps=9)

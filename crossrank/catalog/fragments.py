@@ -53,7 +53,8 @@ part(
          WHEN k <= 12 THEN k || CASE k WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END || ' Submission'
          ELSE 'P2-' || lpad(CAST(k - 12 AS VARCHAR), 2, '0') END AS label,
     CASE WHEN k = 0 THEN 'trial' WHEN k <= 12 THEN 'period1' ELSE 'period2' END AS phase
-    FROM (SELECT unnest(range(-1, 70)) AS k)""",
+    FROM (SELECT unnest(range(-1, n)) AS k FROM (
+        SELECT CAST(FLOOR((MAX(CAST(l_shipdate AS DATE)) - DATE '1996-01-05') / 28.0) AS BIGINT) AS n FROM lineitem))""",
 )
 part(
     "grid",
@@ -227,7 +228,7 @@ def turnover_sql(fc: str) -> str:
     return (
         f"SELECT COALESCE(a.model, b.model) AS model, COALESCE(a.k, b.k + 1) AS k, "
         "SUM(ABS(COALESCE(a.weight, 0) - COALESCE(b.weight, 0))) AS turnover "
-        f"FROM {fc} a FULL OUTER JOIN (SELECT * FROM {fc} WHERE k < 69) b "
+        f"FROM {fc} a FULL OUTER JOIN (SELECT * FROM {fc} WHERE k < (SELECT MAX(k) FROM {fc})) b "
         "ON a.model = b.model AND a.symbol = b.symbol AND a.k = b.k + 1 GROUP BY 1, 2"
     )
 

@@ -102,9 +102,10 @@ def official_leaderboard(spark, folder):
     return official.load_leaderboard(text, "month")
 
 
-@query(with_parts("raw", "SELECT symbol, date, adjusted_close AS price FROM raw WHERE date <= DATE '2001-05-18'"))
+@query(with_parts("raw grid", 'SELECT symbol, date, adjusted_close AS price FROM raw WHERE date <= (SELECT MAX("end") FROM grid)'))
 def vendor_prices(spark, folder):
-    return vendor.load_prices(panels(spark, folder).ohlcv, "2001-05-18")
+    p = panels(spark, folder)
+    return vendor.load_prices(p.ohlcv, str(p.calendar.select(F.max("end")).first()[0]))
 
 
 @query(with_parts("second", "SELECT symbol, date, price FROM second"))
@@ -257,8 +258,7 @@ def external_forecast(spark, folder):
     return rounded(out, weight=9, **dict.fromkeys(RANKS, 9))
 
 
-@query(with_parts("grid", 'SELECT k, label, phase, base, start, "end" FROM grid WHERE "end" < DATE \'2001-06-01\' AND "end" >= DATE \'2001-06-01\' - 28 - 28 AND "end" = (SELECT MAX("end") FROM grid WHERE "end" < (SELECT MAX(CAST(l_shipdate AS DATE)) FROM lineitem))'))
+@query(with_parts("grid", 'SELECT k, label, phase, base, start, "end" FROM grid WHERE "end" = (SELECT MAX("end") FROM grid WHERE "end" < (SELECT MAX(CAST(l_shipdate AS DATE)) FROM lineitem))'))
 def last_complete_period(spark, folder):
     p = panels(spark, folder)
-    download = min(str(p.days.select(F.max("last_day")).first()[0]), "2001-05-19")
-    return cal.last_complete_period(spark, GRID_ORIGIN, download).drop("deadline")
+    return cal.last_complete_period(spark, GRID_ORIGIN, str(p.last_day)).drop("deadline")

@@ -218,7 +218,7 @@ def select_by_past_score(spark, folder):
     p = panels(spark, folder)
     scores = p.walk.periods.selectExpr(
         "model", "rps AS score", "explode(sequence(k + 1, k + 12)) AS k"
-    ).where("k < 70")
+    ).where(F.col("k") < p.n_periods)
     out = sm.select_candidates(scores.withColumn("score", F.round("score", 12)), ["k"], "model")
     return rounded(out, mean_score=9)
 
@@ -253,7 +253,7 @@ def select_ex_post(spark, folder):
 )
 def label_rps(spark, folder):
     p = panels(spark, folder)
-    targets = tg.quintile_targets(p.returns, ["k"])
+    targets = tg.quintile_targets(p.returns, ["k"], bounded=True)
     rows = sm.expand_targets(targets.select("k", "symbol", *TARGETS)).join(
         p.history_forecast.select("k", "symbol", *RANKS), ["k", "symbol"]
     )
@@ -268,7 +268,7 @@ def label_rps(spark, folder):
 )
 def window_mean_rps(spark, folder):
     p = panels(spark, folder)
-    targets = tg.quintile_targets(p.returns, ["k"])
+    targets = tg.quintile_targets(p.returns, ["k"], bounded=True)
     scored = tg.rps_per_asset(p.forecasts, targets, ["k", "symbol"])
     return rounded(tg.window_mean_rps(scored, ["k"], ["model"]), rps=9)
 

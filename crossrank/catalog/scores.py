@@ -16,7 +16,7 @@ _T = ", ".join(f"ROUND(Target{q}, 9) AS Target{q}" for q in range(1, 6))
 @query(with_parts("targets", f"SELECT k, symbol, n, {_T} FROM targets"))
 def quintile_targets(spark, folder):
     p = panels(spark, folder)
-    return tg.quintile_targets(p.returns, ["k"]).select(
+    return tg.quintile_targets(p.returns, ["k"], bounded=True).select(
         "k", "symbol", "n", *[F.round(t, 9).alias(t) for t in TARGETS]
     )
 
@@ -32,7 +32,7 @@ def quintile_targets(spark, folder):
 def quintile_targets_ties(spark, folder):
     p = panels(spark, folder)
     coarse = p.returns.select("k", "symbol", F.round("ret", 2).alias("ret"))
-    return tg.quintile_targets(coarse, ["k"]).select(
+    return tg.quintile_targets(coarse, ["k"], bounded=True).select(
         "k", "symbol", "n", *[F.round(t, 9).alias(t) for t in TARGETS]
     )
 
@@ -50,7 +50,7 @@ def hard_quintiles(spark, folder):
 
     p = panels(spark, folder)
     coarse = p.returns.select("k", "symbol", F.round("ret", 2).alias("ret"))
-    return tg.quintile_targets(coarse, ["k"]).selectExpr(
+    return tg.quintile_targets(coarse, ["k"], bounded=True).selectExpr(
         "k", "symbol", f"{hard_quintile(TARGETS)} AS quintile"
     )
 
@@ -75,6 +75,6 @@ def thresholds_rule(spark, folder):
 def rps_per_asset(spark, folder):
     p = panels(spark, folder)
     scored = tg.rps_per_asset(
-        p.team_forecasts, tg.quintile_targets(p.returns, ["k"]), ["k", "symbol"]
+        p.team_forecasts, tg.quintile_targets(p.returns, ["k"], bounded=True), ["k", "symbol"]
     )
     return scored.select("model", "k", "symbol", F.round("rps", 9).alias("rps"))

@@ -432,7 +432,7 @@ def fidelity(spark, folder):
         .join(F.broadcast(marks), "_one")  # one row: the twelve team names
         .selectExpr("explode(teams) AS team", "k", "symbol", *RANKS)
     )
-    targets = tg.quintile_targets(p.returns, ["k"])
+    targets = tg.quintile_targets(p.returns, ["k"], bounded=True)
     out = asc.fidelity(rerun, submitted, targets, ["team"])
     return rounded(
         out, corr=8, shrink=8, mean_abs_diff=9, max_abs_diff=9, mean_abs_resid=9, max_abs_resid=9,

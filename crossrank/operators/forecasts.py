@@ -96,7 +96,7 @@ def historical_frequency(
         moved = moved.join(delistings.select("symbol", "delisted"), "symbol", "left").where(
             "delisted IS NULL OR delisted > version"
         )
-    ranked = quintile_targets(stage(moved.select(*key, "symbol", "ret"), "window_returns"), key)
+    ranked = quintile_targets(stage(moved.select(*key, "symbol", "ret"), "window_returns"), key, bounded=True)
     so_far = "OVER (PARTITION BY version, chain, symbol ORDER BY step)"
     nxt = "lead(step) OVER (PARTITION BY version, chain, symbol ORDER BY step)"
     running = ranked.where("n >= 5").selectExpr(

@@ -42,7 +42,7 @@ def score_submissions(
     priced = returns.join(F.broadcast(periods.select("k")), "k", "left_semi")
     if validate:
         require_empty(pf.missing_weights(rows, priced, ["team"]), "submissions lack priced symbols")
-    targets = tg.quintile_targets(priced, ["k"])
+    targets = tg.quintile_targets(priced, ["k"], bounded=True)
     scored = tg.rps_per_asset(rows, targets, ["k", "symbol"])
     table = scored.groupBy("team", "k").agg(
         F.avg("rps").alias("rps"), F.expr("bool_and(fresh)").alias("fresh")

@@ -45,7 +45,7 @@ def _clip(level: float) -> float:
 
 
 def order_statistics(
-    df: DataFrame, by: list[str], value: str, places: list[Place], bounded: bool = True
+    df: DataFrame, by: list[str], value: str, places: list[Place], bounded: bool = False
 ) -> DataFrame:
     """Values at given 1-based positions of every group, in ascending order.
 
@@ -116,7 +116,7 @@ def _within(bracket: str, value: str) -> str:
 
 
 def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, levels: dict[str, float], bounded: bool = True
+    df: DataFrame, by: list[str], value: str, levels: dict[str, float], bounded: bool = False
 ) -> DataFrame:
     """Quantiles with linear interpolation between order statistics, one column per level."""
     names = list(levels)

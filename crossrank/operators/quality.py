@@ -248,7 +248,7 @@ def compare_periods(a: DataFrame, b: DataFrame, periods: DataFrame) -> DataFrame
     )
     placed = both
     for side in ("a", "b"):
-        targets = quintile_targets(placed, ["k"], f"r{side}")
+        targets = quintile_targets(placed, ["k"], f"r{side}", bounded=True)
         placed = targets.withColumn(f"q{side}", F.expr(hard_quintile(TARGETS))).drop("n", *TARGETS)
         placed = stage(placed, "placed")
     labels = F.broadcast(kept.select("k", "label"))

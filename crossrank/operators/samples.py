@@ -40,7 +40,7 @@ def window_samples(
     )
     moved = period_returns(prices, named, days, ["base", "end"]).where("ret IS NOT NULL")
     moved = stage(moved.selectExpr("base AS base_date", "`end` AS end_date", "symbol", "ret"), "moves")
-    labelled = quintile_targets(moved, key).where(F.col("n") >= MIN_ASSETS)
+    labelled = quintile_targets(moved, key, bounded=True).where(F.col("n") >= MIN_ASSETS)
     at_base = features.withColumnRenamed("date", "base_date")
     return labelled.join(at_base, ["base_date", "symbol"], "left").select(
         *key, "symbol", *FEATURES, *TARGETS

@@ -17,7 +17,7 @@ def thresholds_rule(n: Column) -> Column:
     return F.when(n == OFFICIAL_SIZE, F.lit("official")).otherwise(F.lit("proportional"))
 
 
-def quintile_cuts(df: DataFrame, by: list[str], value: str, bounded: bool = True) -> DataFrame:
+def quintile_cuts(df: DataFrame, by: list[str], value: str, bounded: bool = False) -> DataFrame:
     """Per group, the values at the four quintile limits with the ranks of their tie groups.
 
     A limit at position 0 (fewer than five assets) is left NULL: every value lies above it.
@@ -37,7 +37,7 @@ def quintile_targets(
     by: list[str],
     value: str = "ret",
     rule: str = "proportional",
-    bounded: bool = True,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add Target1..Target5 and ``n``: the quintile shares of each row inside its group.
 

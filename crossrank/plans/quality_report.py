@@ -48,7 +48,7 @@ def quality_kpis(raw: DataFrame) -> DataFrame:
 def source_kpis(daily: DataFrame, periods: DataFrame) -> DataFrame:
     """Median over symbols of the median difference; worst and mean quintile disagreement."""
     medians = daily.where("median_abs_diff_bp IS NOT NULL").withColumn("_one", F.lit(1))
-    middle = exact_quantiles(medians, ["_one"], "median_abs_diff_bp", {"median_of_medians_bp": 0.5})
+    middle = exact_quantiles(medians, ["_one"], "median_abs_diff_bp", {"median_of_medians_bp": 0.5}, bounded=True)
     shares = periods.agg(
         F.max("share_different_quintile").alias("worst_quintile_share"),
         F.avg("share_different_quintile").alias("mean_quintile_share"),

@@ -43,7 +43,7 @@ class WalkForward:
 def member_targets(returns: DataFrame, members: DataFrame) -> DataFrame:
     """Targets among the members of each period; the quintile limits follow their number."""
     scored = returns.select("k", "symbol", "ret").join(members, ["k", "symbol"], "left_semi")
-    return tg.quintile_targets(stage(scored, "member_returns"), ["k"])
+    return tg.quintile_targets(stage(scored, "member_returns"), ["k"], bounded=True)
 
 
 def run(

@@ -7,6 +7,7 @@ of a session read the same ones.
 
 from __future__ import annotations
 
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,7 +23,6 @@ from crossrank.schema import RANKS
 from crossrank.staging import stage
 
 GRID_ORIGIN = "1996-01-05"
-GRID_PERIODS = 70
 SUBMISSION_DAYS = 112
 TEAMS = 12
 DELISTING_DATE = "1999-01-15"
@@ -39,6 +39,10 @@ def asset_key(symbol: Column) -> Column:
     return F.regexp_extract(symbol, r"^S(\d+)", 1).cast("long")
 
 
+def legal_buckets(spark: SparkSession, wanted: int) -> int:
+    return min(wanted, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+
+
 class Panels:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -49,9 +53,9 @@ class Panels:
 
     @cached_property
     def _buckets(self) -> int:
-        """One bucket per input split, at least one per core."""
+        """One bucket per input split, at least one per core, and no more than Spark allows."""
         splits = self._line().select("l_suppkey").rdd.getNumPartitions()
-        return max(splits, self.spark.sparkContext.defaultParallelism)
+        return legal_buckets(self.spark, max(splits, self.spark.sparkContext.defaultParallelism))
 
     def _stage(self, df: DataFrame, label: str) -> DataFrame:
         return stage(df, label)
@@ -116,9 +120,18 @@ class Panels:
     def days(self) -> DataFrame:
         return self._stage(cal.trading_days(self.prices), "days")
 
+    @cached_property
+    def last_day(self) -> date:
+        return self.days.select(F.max("last_day")).first()[0]
+
+    @cached_property
+    def n_periods(self) -> int:
+        """Periods that are complete on the last trading day."""
+        return max((self.last_day - date.fromisoformat(GRID_ORIGIN)).days // cal.PERIOD_DAYS, 0)
+
     @cached_property
     def calendar(self) -> DataFrame:
-        grid = cal.period_grid(self.spark, GRID_ORIGIN, "2001-05-18")
+        grid = cal.period_grid(self.spark, GRID_ORIGIN, self.last_day)
         return self._stage(cal.resolve(grid, self.days), "calendar")
 
     @cached_property
@@ -185,7 +198,7 @@ class Panels:
         # The same bounds as on the slot, on the stored column so that the scan can skip files.
         first = F.lit(GRID_ORIGIN).cast("timestamp") - F.expr(f"INTERVAL {SUBMISSION_DAYS - 1} DAYS")
         last = F.lit(GRID_ORIGIN).cast("timestamp") + F.expr(
-            f"INTERVAL {cal.PERIOD_DAYS * (GRID_PERIODS - 1) + 1} DAYS"
+            f"INTERVAL {cal.PERIOD_DAYS * (self.n_periods - 1) + 1} DAYS"
         )
         per_slot = (
             self._line()
@@ -197,7 +210,7 @@ class Panels:
                 band.alias("band"),
                 raw.alias("raw"),
             )
-            .where((F.col("slot") > -reach) & (F.col("slot") < GRID_PERIODS))
+            .where((F.col("slot") > -reach) & (F.col("slot") < self.n_periods))
             .groupBy("team", "sk", "slot")
             .agg(
                 *[F.count(F.when(F.col("band") == q, 1)).alias(f"c{q}") for q in range(5)],
@@ -212,7 +225,7 @@ class Panels:
             F.explode(
                 F.sequence(
                     F.greatest(F.col("slot"), F.lit(0)),
-                    F.least(F.col("slot") + reach - 1, F.lit(GRID_PERIODS - 1)),
+                    F.least(F.col("slot") + reach - 1, F.lit(self.n_periods - 1)),
                 )
             ).alias("k"),
             *[f"c{q}" for q in range(5)],
@@ -222,7 +235,7 @@ class Panels:
         grid = (
             self.symbols.select(asset_key(F.col("symbol")).alias("sk"))
             .select("sk", F.explode(F.sequence(F.lit(0), F.lit(TEAMS - 1))).alias("team"))
-            .select("team", "sk", F.explode(F.sequence(F.lit(0), F.lit(GRID_PERIODS - 1))).alias("k"))
+            .select("team", "sk", F.explode(F.sequence(F.lit(0), F.lit(self.n_periods - 1))).alias("k"))
         )
         zero = F.lit(0).cast("long")
         cells = (

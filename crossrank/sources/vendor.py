@@ -65,7 +65,7 @@ def payload_warnings(entries: DataFrame) -> DataFrame:
     )
     return parsed.where("NOT is_list OR r.date IS NULL").selectExpr(
         "symbol",
-        "CASE WHEN NOT is_list THEN concat('unexpected payload: ', left(entry, 200))"
+        "CASE WHEN NOT is_list THEN concat('unexpected payload: ', entry)"
         " ELSE coalesce(r.warning, entry) END AS warning",
     )
 

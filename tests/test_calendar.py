@@ -87,3 +87,21 @@ def test_history_cut_ignores_later_rows(spark, walk_panel):
     wide = frame.pivot(index="date", columns="symbol", values="price").ffill()
     for r in before.sample(20, random_state=0).itertuples():
         assert r.price == wide.loc[r.date, r.symbol]
+
+
+def test_periods_follow_the_data():
+    """Two more years of rows give two more years of periods; nothing is fixed in the code."""
+    from datetime import date
+
+    from crossrank.sources.star_schema import Panels
+
+    for last, periods in ((date(2001, 11, 4), 76), (date(2003, 11, 4), 102), (date(1996, 1, 9), 0)):
+        panels = Panels(None, "")
+        panels.last_day = last
+        assert panels.n_periods == periods
+
+
+def test_bucket_count_stays_legal(spark):
+    from crossrank.sources.star_schema import legal_buckets
+
+    assert legal_buckets(spark, 800_000) == 100_000 and legal_buckets(spark, 12) == 12

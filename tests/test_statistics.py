@@ -1,5 +1,7 @@
 """Tests of means, bootstraps, correlations and special functions."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -113,3 +115,14 @@ def test_fisher_table(spark):
     rows = [("a", False, False)] * 89 + [("a", False, True)] * 36 + [("a", True, False)] * 27 + [("a", True, True)] * 11
     out = asc.fisher_table(spark.createDataFrame(rows, "g string, x boolean, y boolean"), ["g"], "x", "y").first()
     assert out["odds_ratio"] == pytest.approx(1.0072, abs=1e-4) and out["p_value"] == pytest.approx(1.0)
+
+
+def test_fisher_tails_equal_full_enumeration():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        a, b, c, d = (int(rng.integers(0, 31)) for _ in range(4))
+        row, col, n = a + b, a + c, a + b + c + d
+        mass = {k: math.comb(row, k) * math.comb(n - row, col - k) for k in range(max(0, row + col - n), min(row, col) + 1)}
+        want = sum(m for m in mass.values() if m <= mass[a] * (1 + 1e-7)) / math.comb(n, col)
+        assert hypergeometric_two_sided(a, b, c, d) == pytest.approx(want, rel=1e-9)
+    assert 0 < hypergeometric_two_sided(50_001_000, 50_000_000, 50_000_000, 50_000_000) < 1
