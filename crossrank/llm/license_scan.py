@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crossrank.llm.common import TERM, lower_ascii
+from crossrank.staging import stage
 
 # Phrases whose places are counted, with their labels.
 PHRASES = [
@@ -116,7 +117,7 @@ def spans(diagonals: DataFrame, min_cover: float = MIN_COVER, gap: int = GAP) ->
 
 def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, labels and score."""
-    diagonals = votes(docs, templates(docs.sparkSession, phrases, notices))
+    diagonals = stage(votes(docs, templates(docs.sparkSession, phrases, notices)), "license_votes")
     full = F.col("base") & (F.size("positions") == F.col("size") - 1)
     places = diagonals.where(full).select(
         "doc_id", "key", "label", F.col("diagonal").alias("place"), F.lit(1.0).alias("cover")
