@@ -9,7 +9,7 @@ with the smallest id, at its first place there, and goes everywhere else, so tha
 
 Lines of fewer than ``min_words`` words never count as boilerplate: they recur by chance.
 
-Defined results: null is no site of its own but counts as one more (``source`` null); null and
+Defined results: a null source counts as the empty one; null and
 empty texts have no lines and stay as they are; lines without a word are kept; a null id is the
 smallest; identical rows lose the same lines and, where they hold the kept copy, all keep it;
 texts and lines of any length are used whole; columns other than text pass through unchanged.
@@ -38,12 +38,14 @@ def _lines(text: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, site, h: the distinct long enough lines of every document."""
+    """doc_id, key (of the text), site, h: the distinct long enough lines of every document."""
     long_enough = F.filter(
         F.transform(_lines(F.col("text")), _normal), lambda x: F.regexp_count(x, F.lit(WORD)) >= min_words
     )
     hashes = F.array_distinct(F.transform(long_enough, lambda x: F.xxhash64(x)))
-    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("site"), F.explode(hashes).alias("h"))
+    return docs.select(
+        "doc_id", F.xxhash64("text").alias("key"), F.coalesce("source", F.lit("")).alias("site"), F.explode(hashes).alias("h")
+    )
 
 
 def boilerplate(
@@ -76,21 +78,17 @@ def dedup(
     Lines to remove are found on (document, hash) rows; each document then gets its own list, and
     only the text of the document itself is rewritten.
     """
-    hashes = line_hashes(docs, min_words)
+    hashes = stage(line_hashes(docs, min_words), "line_hashes")
     found = stage(boilerplate(hashes, min_sites, lg_k, band), "boilerplate")
-    key = F.xxhash64("text")
-    rows = docs.select(
-        "doc_id", key.alias("key"), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), lambda x: F.xxhash64(_normal(x))))).alias("h")
-    )
     marks = (
-        rows.join(found, "h")
+        hashes.join(found, "h")
         .groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
         .agg(
             F.collect_set(F.when(~F.col("doc_id").eqNullSafe(F.col("owner")), F.col("h"))).alias("__gone"),
             F.collect_set(F.when(F.col("doc_id").eqNullSafe(F.col("owner")), F.col("h"))).alias("__once"),
         )
     )
-    keyed = docs.withColumn("__text_key", key)
+    keyed = docs.withColumn("__text_key", F.xxhash64("text"))
     joined = keyed.join(
         marks, keyed["doc_id"].eqNullSafe(marks["__id"]) & (keyed["__text_key"] == marks["__key"]), "left"
     )
