@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossrank.llm.common import ship
+from crossrank.staging import stage
 
 ship(__name__)
 
@@ -238,14 +239,16 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 def convert(spark: SparkSession, path: str, min_bytes: int = 100) -> DataFrame:
     """ARC files -> WARC records: the fields of ``read_arc``, record_type, refers_to, refers_to_record."""
     large = F.col("payload_bytes") >= min_bytes
-    first = (
+    # Staged, so that Spark knows its size: the records are shuffled only if it is large.
+    first = stage(
         read_arc(spark, path, keep="digest").where(large).groupBy(F.col("payload_digest").alias("digest"))
         .agg(
             F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id")).alias("first"),
             F.count("*").alias("n"),
         )
         .where("n > 1")
-        .select("digest", F.col("first.page_id").alias("first_page"), F.col("first.record_id").alias("first_record"))
+        .select("digest", F.col("first.page_id").alias("first_page"), F.col("first.record_id").alias("first_record")),
+        "repeated_payloads",
     )
     rows = read_arc(spark, path).join(first, (F.col("payload_digest") == F.col("digest")) & large, "left")
     revisit = F.col("digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
