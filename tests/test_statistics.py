@@ -29,45 +29,51 @@ def test_fisher_published_table():
     assert hypergeometric_two_sided(8, 2, 1, 5) == pytest.approx(0.03496503, abs=1e-8)
 
 
-def test_dm_hand_computation_and_alternatives(spark):
-    d = np.array([-0.01, -0.02, 0.005, -0.015, -0.01, 0.0, -0.02, -0.005])
-    n = len(d)
-    want = d.mean() / np.sqrt(((d - d.mean()) ** 2).mean() / n) * np.sqrt((n - 1) / n)
-    got = {a: sg.diebold_mariano(series(spark, d), ["model"], alternative=a).first() for a in sg.ALTERNATIVES}
-    assert got["less"]["dm_stat"] == pytest.approx(want) and got["less"]["p_value"] < 0.05
-    assert got["greater"]["p_value"] == pytest.approx(1 - got["less"]["p_value"])
-    assert got["two-sided"]["p_value"] == pytest.approx(2 * got["less"]["p_value"])
-    zero = sg.diebold_mariano(series(spark, np.zeros(12)), ["model"]).first()
-    assert zero["dm_stat"] is None and zero["p_value"] == 1.0
-    # Alternating values: the lag-1 long-run variance is negative, so there is no statistic.
-    negative = sg.diebold_mariano(series(spark, d), ["model"], h=2).first()
-    c = d - d.mean()
-    assert c @ c + 2 * c[1:] @ c[:-1] < 0
-    assert negative["dm_stat"] is None and negative["p_value"] == 1.0
-    d = np.array([-0.02, -0.018, -0.01, -0.012, -0.002, 0.001, 0.003, -0.001, -0.009, -0.011])
+def dm_by_definition(d, h):
+    """Mean over the root of its long-run variance, with the small-sample factor."""
     n, c = len(d), d - d.mean()
-    lrv = (c @ c + 2 * c[1:] @ c[:-1]) / n
-    two = sg.diebold_mariano(series(spark, d), ["model"], h=2).first()["dm_stat"]
-    assert two == pytest.approx(d.mean() / np.sqrt(lrv / n) * np.sqrt((n + 1 - 4 + 2 / n) / n))
+    variance = sum((1 if lag == 0 else 2) * (c[lag:] @ c[: n - lag]) for lag in range(h)) / n
+    return d.mean() / math.sqrt(variance / n) * math.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)
+
+
+@pytest.mark.parametrize("h", [1, 2, 3])
+def test_dm_statistic_of_smoothed_series(spark, h):
+    steps = np.random.default_rng(31).normal(-0.002, 0.004, (6, 22))
+    smooth = {f"s{i}": np.convolve(row, [0.5, 0.3, 0.2], "valid") for i, row in enumerate(steps)}
+    rows = [(m, k, float(v)) for m, d in smooth.items() for k, v in enumerate(d)]
+    table = spark.createDataFrame(rows, "model string, k int, rps_diff double")
+    tails = {a: {r["model"]: r for r in sg.diebold_mariano(table, ["model"], h=h, alternative=a).collect()} for a in sg.ALTERNATIVES}
+    for model, d in smooth.items():
+        less, greater, both = (tails[a][model] for a in ("less", "greater", "two-sided"))
+        assert less["dm_stat"] == pytest.approx(dm_by_definition(d, h))
+        assert less["p_value"] + greater["p_value"] == pytest.approx(1)
+        assert both["p_value"] == pytest.approx(2 * min(less["p_value"], greater["p_value"]))
+
+
+def test_dm_without_a_positive_variance(spark):
+    swinging = [0.01, -0.03] * 7  # its first autocovariance outweighs the variance
+    for values, h in ((swinging, 2), ([0.25] * 9, 1)):
+        row = sg.diebold_mariano(series(spark, values), ["model"], h=h).first()
+        assert row["dm_stat"] is None and row["p_value"] == 1.0
     with pytest.raises(Exception, match="at least 3"):
-        sg.diebold_mariano(series(spark, d[:2]), ["model"]).collect()
+        sg.diebold_mariano(series(spark, swinging[:2]), ["model"]).collect()
     with pytest.raises(ValueError):
-        sg.diebold_mariano(series(spark, d), ["model"], alternative="other")
-
-
-def test_block_bootstrap(spark):
-    rng = np.random.default_rng(0)
-    better = -0.01 + rng.normal(0, 0.005, 24)
-    rows = series(spark, better, "good").union(series(spark, [0.01, -0.01] * 6, "noise")).union(series(spark, np.zeros(12), "zero"))
-    out = {r["model"]: r for r in sg.block_bootstrap(rows, ["model"], block=2, n_boot=3000, seed=1).collect()}
-    assert out["good"]["p_boot"] < 0.01 and out["good"]["ci_high"] < 0
-    # The interval agrees with the normal approximation of the block mean.
-    half = (out["good"]["ci_high"] - out["good"]["ci_low"]) / 2
-    assert half == pytest.approx(1.96 * better.std() / np.sqrt(24), rel=0.35)
-    assert out["noise"]["p_boot"] > 0.3
-    assert out["zero"]["p_boot"] == 1.0 and out["zero"]["ci_low"] == 0
-    again = sg.block_bootstrap(rows, ["model"], block=2, n_boot=3000, seed=1).collect()
-    assert {r["model"]: r for r in again} == out
+        sg.diebold_mariano(series(spark, swinging), ["model"], alternative="other")
+
+
+def test_block_bootstrap_equals_the_enumerated_resamples(spark):
+    """Four periods in blocks of two: sixteen equally likely resamples."""
+    d, draws = np.array([-0.031, 0.052, -0.043, 0.017]), 4000
+    halves = (d + np.roll(d, -1)) / 2
+    means = np.add.outer(halves, halves).ravel() / 2
+    rows = series(spark, d, "mixed").union(series(spark, [-0.125] * 6, "flat"))
+    run = [{r["model"]: r for r in sg.block_bootstrap(rows, ["model"], block=2, n_boot=draws, seed=9).collect()} for _ in range(2)]
+    assert run[0] == run[1]
+    mixed, flat = run[0]["mixed"], run[0]["flat"]
+    exact = np.mean(means - d.mean() <= d.mean())
+    assert mixed["p_boot"] == pytest.approx(exact, abs=4 * math.sqrt(exact * (1 - exact) / draws))
+    assert [mixed["ci_low"], mixed["ci_high"]] == pytest.approx([means.min(), means.max()])
+    assert flat["p_boot"] == 1.0 and flat["ci_low"] == flat["ci_high"] == -0.125
 
 
 def pairs(spark, x, y):
