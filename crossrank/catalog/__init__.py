@@ -32,4 +32,5 @@ def load() -> None:
         panels,
         scores,
         statistics,
+        stores,
     )

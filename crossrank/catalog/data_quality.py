@@ -12,7 +12,7 @@ from crossrank.operators import quality as ql
 from crossrank.plans.quality_report import quality_kpis
 from crossrank.sources.star_schema import panels
 
-START, CUTOFF, MIN_SHARE = "1995-01-04", "2001-05-18", 0.2
+START, MIN_SHARE = "1995-01-04", 0.2
 
 
 def _calendars(p):

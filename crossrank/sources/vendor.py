@@ -36,11 +36,21 @@ def ticker(symbol: str = "symbol", vendor: dict = PRIMARY) -> str:
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """(symbol, entry_no, entry, is_list) of landed JSON payloads, one file per symbol."""
-    landed = spark.read.text(path, wholetext=True).selectExpr(
-        "value", "regexp_extract(input_file_name(), '([^/]+)[.]json$', 1) AS symbol"
+    return payload_entries(
+        spark.read.text(path, wholetext=True).selectExpr(
+            "value", "regexp_extract(input_file_name(), '([^/]+)[.]json$', 1) AS symbol"
+        )
     )
-    is_list = "startswith(ltrim(value), '[')"
-    return landed.selectExpr(
+
+
+def payload_entries(landed: DataFrame) -> DataFrame:
+    """The same of payloads (symbol, value), each the whole text of a file.
+
+    White space around the document, such as a file's last line break, is no part of it.
+    """
+    is_list = "startswith(value, '[')"
+    document = F.regexp_replace("value", r"^\s+|\s+$", "")
+    return landed.select("symbol", document.alias("value")).selectExpr(
         "symbol",
         f"{is_list} AS is_list",
         f"posexplode_outer(CASE WHEN {is_list} THEN from_json(value, 'array<string>')"
