@@ -31,12 +31,15 @@ def write_run(table: DataFrame, root: str, run: str, name: str) -> str:
 
 
 def write_forecasts(forecasts: DataFrame, periods: DataFrame, target: str) -> None:
-    """symbol, Rank1..5, weight, label, partitioned by model and phase."""
+    """symbol, Rank1..5, weight, label, partitioned by model and phase.
+
+    The rebalance splits a model's phase over several tasks and files when it is large.
+    """
     labels = F.broadcast(periods.select("k", "label", "phase"))  # one row per period
     (
         forecasts.join(labels, "k")
         .select("symbol", *RANKS, "weight", "label", "k", "model", "phase")
-        .repartition("model", "phase", "k")
+        .hint("rebalance", "model", "phase")
         .write.mode("errorifexists")
         .partitionBy("model", "phase")
         .parquet(target)
