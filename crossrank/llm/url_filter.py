@@ -7,6 +7,11 @@ pages rules allow along the links, distrust from hosts whose pages rules block a
 ``judge`` gives each page its rule's verdict, else its host's: blocked when its distrust is above
 ``threshold`` and above its trust, else allowed.
 
+``judge_shared`` is the whole method: a host under allow and block rules is a seed on both sides, by the
+share of its pages (``shared_seeds``), scores are iterated until no host gains more than a tolerance
+(``converge``), and a host is blocked by the share of distrust in what it received, however little that is.
+``judge`` seeds only hosts under rules of one kind and ends after ``ROUNDS`` rounds, as its SQL states.
+
 Edges are distinct host pairs with the number of links as weight, so a popular host is one row per
 neighbour, and the mass a host receives is summed before it is shuffled.  Every round is written
 to the shared folder.
@@ -17,6 +22,8 @@ null html has no links; repeated rows are judged alike; links to the own host do
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +42,10 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 DAMPING = 0.85
 ROUNDS = 8
+# Of ``converge``: the largest gain of a host in the last round, far below the six places given out,
+# and the rounds between two looks at it.
+TOLERANCE = 1e-9
+STEP = 4
 
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -99,22 +110,37 @@ def seeds(matched: DataFrame) -> DataFrame:
     )
 
 
-def propagate(edges: DataFrame, seed: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(kind, host, seed) -> (kind, host, score) after ``rounds`` rounds.
+def shared_seeds(matched: DataFrame) -> DataFrame:
+    """Every host with ruled pages: trust by its share of allowed ones, distrust by that of blocked ones."""
+    sides = matched.where(F.col("verdict").isNotNull()).groupBy("host").agg(
+        F.count_if(F.col("verdict") == "allow").alias("allowed"), F.count_if(F.col("verdict") == "block").alias("blocked")
+    )
+    return sides.selectExpr(
+        "host", "stack(2, 'trust', allowed / (allowed + blocked), 'distrust', blocked / (allowed + blocked)) AS (kind, seed)"
+    ).where("seed > 0").select("kind", "host", "seed")
 
-    score = (1 - damping) * seed + damping * the shares of the neighbours' scores.  Trust follows
-    links, distrust goes back along them.  Without links the scores are final at once.
-    """
+
+def link_shares(edges: DataFrame) -> DataFrame:
+    """way, a, b, share: trust goes from a to b along links, distrust against them."""
     ways = edges.select(F.lit("trust").alias("way"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").unionByName(
         edges.select(F.lit("distrust").alias("way"), F.col("dst").alias("a"), F.col("src").alias("b"), "n")
     )
     sent = ways.groupBy("way", "a").agg(F.sum("n").alias("all")).withColumnsRenamed({"way": "w", "a": "from"})
-    shares = stage(
+    return stage(
         ways.join(sent, (F.col("way") == F.col("w")) & (F.col("a") == F.col("from"))).select(
             "way", "a", "b", (F.col("n") / F.col("all")).alias("share")
         ),
         "link_shares",
     )
+
+
+def propagate(edges: DataFrame, seed: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+    """(kind, host, seed) -> (kind, host, score) after ``rounds`` rounds.
+
+    score = (1 - damping) * seed + damping * the shares of the neighbours' scores.  Trust follows
+    links, distrust goes back along them.  Without links the scores are final at once.
+    """
+    shares = link_shares(edges)
     base = seed.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
     scores = stage(base, "trust_seeds")
     if shares.isEmpty():
@@ -130,19 +156,52 @@ def propagate(edges: DataFrame, seed: DataFrame, rounds: int = ROUNDS, damping:
     return scores
 
 
+def converge(edges: DataFrame, seed: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """(kind, host, seed) -> (kind, host, score), the fixed point of ``propagate``.
+
+    ``gain`` is what the last round added to a host.  The sum of gains falls by ``damping`` a round
+    at least, so the rounds end; ``STEP`` of them are written at once.
+    """
+    shares = link_shares(edges)
+    base = seed.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
+    scores = stage(base.withColumn("gain", F.col("score")), "trust_seeds")
+    start = scores.withColumn("gain", F.lit(0.0))
+    linked = not shares.isEmpty()
+    while linked and not scores.where(F.col("gain") > tolerance).isEmpty():
+        for _ in range(STEP):
+            moved = scores.join(
+                shares, (F.col("kind") == F.col("way")) & (F.col("host") == F.col("a"))
+            ).select("kind", F.col("b").alias("host"), *[(F.col(c) * F.col("share") * damping).alias(c) for c in ("score", "gain")])
+            scores = start.unionByName(moved).groupBy("kind", "host").agg(
+                F.sum("score").alias("score"), F.sum("gain").alias("gain")
+            )
+        scores = stage(scores, "trust_scores")
+    return scores.select("kind", "host", "score")
+
+
 def judge(pages: DataFrame, rules: DataFrame, threshold: float = 0.02, rounds: int = ROUNDS) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust."""
     matched = stage(match_rules(pages, rules), "url_rules")
     scores = propagate(host_edges(pages), seeds(matched), rounds)
+    return _verdicts(matched, scores, lambda trust, distrust: (distrust > threshold) & (distrust > trust))
+
+
+def judge_shared(pages: DataFrame, rules: DataFrame, share: float = 0.5, tolerance: float = TOLERANCE) -> DataFrame:
+    """As ``judge``, from seeds of both sides: blocked when distrust is above ``share`` of what the host received."""
+    matched = stage(match_rules(pages, rules), "url_rules")
+    scores = converge(host_edges(pages), shared_seeds(matched), tolerance)
+    return _verdicts(matched, scores, lambda trust, distrust: distrust > share * (trust + distrust))
+
+
+def _verdicts(matched: DataFrame, scores: DataFrame, blocked: Callable[[Column, Column], Column]) -> DataFrame:
     per_host = stage(scores.groupBy(F.col("host").alias("h")).agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"),
     ), "host_trust")
     trust = F.coalesce("trust", F.lit(0.0))
     distrust = F.coalesce("distrust", F.lit(0.0))
-    blocked = (distrust > threshold) & (distrust > trust)
     return matched.join(per_host, F.col("host") == F.col("h"), "left").select(
         "page_id", "host", "path", "rule",
-        F.coalesce("verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce("verdict", F.when(blocked(trust, distrust), "block").otherwise("allow")).alias("verdict"),
         F.round(trust, 6).alias("trust"), F.round(distrust, 6).alias("distrust"),
     )

@@ -215,6 +215,22 @@ def test_trust_flows_along_links(spark):
                    ("distrust", "c"): 0.5, ("distrust", "b"): 0.25, ("distrust", "a"): 0.125}
 
 
+def test_mixed_hosts_and_long_chains(spark):
+    rules = url_filter.rules_table(spark, [("mixed.com", "/good/", "allow"), ("mixed.com", "/bad/", "block")])
+    hosts = [f"h{i}.net" for i in range(12)]
+    page = lambda url, to: (url, f'<a href="http://{to}/">x</a>')
+    rows = [page(f"http://{a}/", b) for a, b in zip(hosts, [*hosts[1:], "mixed.com"])]
+    rows += [("http://mixed.com/bad/", "")] * 3 + [page("http://mixed.com/good/", "praised.net")]
+    rows += [("http://praised.net/", ""), ("http://mixed.com/", "")]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["host"]: r for r in url_filter.judge_shared(pages, rules).collect() if r["rule"] is None}
+    assert (got["mixed.com"]["trust"], got["mixed.com"]["distrust"]) == (0.0375, 0.1125)
+    assert got["mixed.com"]["verdict"] == "block" and got["praised.net"]["verdict"] == "allow"
+    assert got["praised.net"]["trust"] == round(0.0375 * 0.85, 6)
+    assert all(got[h]["verdict"] == "block" for h in hosts)
+    assert got["h0.net"]["distrust"] == round(0.1125 * 0.85**12, 6)
+
+
 def test_single_class_labels_give_their_share(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
