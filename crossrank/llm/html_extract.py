@@ -10,7 +10,7 @@ references are decoded, white space inside a block becomes one space, blocks are
 
 Defined results: null or empty html, or a page without content, gives an empty text; a page cut
 off anywhere is read up to its end (an unclosed comment, tag or script swallows the rest, as in
-browsers); very long pages are read whole, in one forward scan; repeated rows give equal results.
+browsers); an open head ends where a browser ends it, with or without ``</head>``; very long pages are read whole, in one forward scan; repeated rows give equal results.
 Only page_id, url and html are read, so other columns may have any name.
 """
 
@@ -24,9 +24,10 @@ from crossrank.llm.common import ship
 
 ship(__name__)
 
-# Fixed values of HTML: elements whose content is no text, elements without content, and
-# elements that begin a new block.
+# Fixed values of HTML: elements whose content is no text, those that can stand in a head, elements
+# without content, and elements that begin a new block.
 SILENT = frozenset("script style template noscript svg math iframe object select option textarea button canvas audio video head title".split())
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -159,11 +160,17 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             link -= tag == "a"
             heading -= len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
 
+    def leave_head():  # its end tag is optional: text or a tag that cannot stand in it ends it
+        if stack and stack[-1][0] == "head":
+            close(len(stack) - 1)
+
     at, n = 0, len(html)
     while at < n:
         start = html.find("<", at)
         if start < 0:
             start = n
+        if silent and html[at:start].strip(" \t\n\r\f"):
+            leave_head()
         if start > at and not silent:
             parts.append(html[at:start])
             if link:
@@ -186,6 +193,7 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
                 end = html.find(">", start)
                 at = n if end < 0 else end + 1
             else:
+                leave_head()
                 if not silent:
                     parts.append("&lt;")
                 at = start + 1
@@ -197,6 +205,8 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
         while cut < len(inside) and inside[cut] not in " \t\n\r\f/":
             cut += 1
         tag, attributes = inside[:cut].lower(), inside[cut:]
+        if not closing and tag not in HEAD:
+            leave_head()
         if tag in BLOCK:
             flush()
         elif tag == "br" and not silent:

@@ -207,6 +207,16 @@ def test_html_blocks():
     assert html_extract.main_text(None, tree) == html_extract.main_text("", tree) == ""
 
 
+@pytest.mark.parametrize("start", ["<body>", "", "<p>", "<img src=x>", "Some text, ", "1 < 2 "])
+def test_html_without_head_end(start):
+    tree = html_extract.grow(html_extract.LABELLED)
+    page = "<html><head><meta charset=utf-8><title>T</title><style>x</style><template><p>no</p></template>{}{}<article><p>"
+    page += "the first paragraph with a few words in it</p><p>Second.</p></article></body></html>"
+    text = html_extract.main_text(page.format("", start), tree)
+    assert text == html_extract.main_text(page.format("</head>", start), tree)
+    assert text.endswith("the first paragraph with a few words in it\nSecond.") and "no" not in text.split()
+
+
 def test_trust_flows_along_links(spark):
     edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("c", "a", 1)], "src string, dst string, n long")
     seed = spark.createDataFrame([("trust", "a", 1.0), ("distrust", "c", 1.0)], "kind string, host string, seed double")
