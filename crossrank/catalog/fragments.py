@@ -415,6 +415,7 @@ part(
     "win",
     "cal",
 )
+part("dayfeat", percent_rank_sql("signals"), "signals")
 part("wtargets", targets_sql("wret", "wb, we"), "wret")
 part(
     "samples",

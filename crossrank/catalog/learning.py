@@ -82,6 +82,14 @@ def cross_sectional_features(spark, folder):
     return rounded(_base_features(p, _windows(p)), **_R9)
 
 
+@query(with_parts("dayfeat", f"SELECT symbol, date, {_F9} FROM dayfeat"))
+def cross_sectional_daily(spark, folder):
+    """The ranks of every trading day; ``cross_sectional_features`` has those of window bases and origins."""
+    p = panels(spark, folder)
+    signals = stage(ft.price_signals(p.prices, p.days), "signals_daily")
+    return rounded(ft.cross_sectional(signals), **_R9)
+
+
 @query(with_parts("naive", "SELECT symbol, date, " + ", ".join(f"ROUND({c}, 5) AS {c}" for c in ft.FEATURES) + " FROM naive"))
 def naive_features(spark, folder):
     p = panels(spark, folder)
