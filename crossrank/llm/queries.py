@@ -13,6 +13,7 @@ from crossrank.llm import (
     license_scan,
     line_dedup,
     mixing,
+    period_runs,
     quality_classifier,
     quality_rules,
     shingle_join,
@@ -107,3 +108,8 @@ def op9_archives(spark, folder):
 @query()
 def op10_html_extraction(spark, folder):
     return html_extract.extract(table(spark, folder, "pages"))
+
+
+@query()
+def op12_period_runs(spark, folder):
+    return period_runs.report(table(spark, folder, "documents"), period_runs.planted)
