@@ -19,6 +19,7 @@ from crossrank.llm import (
     shingle_join,
     sql,
     url_filter,
+    whitening,
 )
 from crossrank.llm.common import table
 from crossrank.staging import shared_folder
@@ -113,3 +114,8 @@ def op10_html_extraction(spark, folder):
 @query()
 def op12_period_runs(spark, folder):
     return period_runs.report(table(spark, folder, "documents"), period_runs.planted)
+
+
+@query()
+def op13_whitening(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
