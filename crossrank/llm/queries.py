@@ -10,6 +10,7 @@ from crossrank.llm import (
     archives,
     decontaminate,
     html_extract,
+    language_id,
     license_scan,
     line_dedup,
     mixing,
@@ -111,6 +112,14 @@ def op10_html_extraction(spark, folder):
     return html_extract.extract(table(spark, folder, "pages"))
 
 
+@query()
+def op11_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = language_id.predict(docs, language_id.train(docs))
+    held_out = F.coalesce(language_id.held_out(F.col("doc_id")), F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query()
 def op12_period_runs(spark, folder):
     return period_runs.report(table(spark, folder, "documents"), period_runs.planted)
