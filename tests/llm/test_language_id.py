@@ -116,12 +116,12 @@ def test_held_out_rows_are_not_learned(spark, rows):
 
 
 def test_repeated_ids_stay_within_the_bound(spark):
-    docs = frame(spark, [(5, "word", "aa")] * 3000)
+    docs = frame(spark, [(8, "word", "aa")] * 3000)
     assert len(lid.training_windows(docs, per_language=5000)) == 1
 
 
 @pytest.mark.parametrize("rows, expected", [
-    ([], []), ([(3, "text", None)], [(3, "und", 0.0)]), ([(5, "text", "xx"), (5, None, "xx")], [(5, "und", 0.0), (5, "xx", 1.0)]),
+    ([], []), ([(3, "text", None)], [(3, "und", 0.0)]), ([(8, "text", "xx"), (8, None, "xx")], [(8, "und", 0.0), (8, "xx", 1.0)]),
 ])
 def test_little_to_learn_from(spark, rows, expected):
     docs = frame(spark, rows)
