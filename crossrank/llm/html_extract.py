@@ -3,14 +3,18 @@
 A page becomes a flat list of text blocks (text between block-level tags).  Each block is
 described by its words and link density, those of its neighbours, and where it stands (inside a
 main element, inside a boilerplate element or one whose class, id or role says so, or a heading).
-A decision tree, grown on the labelled blocks below, tells content from boilerplate.
+Decision trees, grown on the labelled blocks below, tell content from boilerplate: blocks inside a
+main element have a tree of their own, so length and neighbours never outweigh where they stand;
+the other tree also knows whether the page has a main text elsewhere.
+Inside a main element a class or id marks boilerplate only if all its words do (``share-buttons``, not ``share-prices``).
 
 Scripts, styles, templates, comments, frames and form controls never give text.  Character
 references are decoded, white space inside a block becomes one space, blocks are joined by \\n.
 
 Defined results: null or empty html, or a page without content, gives an empty text; a page cut
 off anywhere is read up to its end (an unclosed comment, tag or script swallows the rest, as in
-browsers); an open head ends where a browser ends it, with or without ``</head>``; very long pages are read whole, in one forward scan; repeated rows give equal results.
+browsers); an open head ends where a browser ends it, with or without ``</head>``; very long pages
+are read whole, in one forward scan; repeated rows give equal results; an empty table gives no rows.
 Only page_id, url and html are read, so other columns may have any name.
 """
 
@@ -44,45 +48,62 @@ MARKS = frozenset(
     "navigation newsletter notice notices pagination popup promo promoted promotion related respond replies sharing "
     "share sidebar signup skip social sponsor sponsored subscribe tags toolbar widget widgets".split()
 )
+# Words that leave the meaning of a mark as it is.
+PLAIN = frozenset(
+    "area bar block box btn button buttons col column container content form group header heading holder icon icons inner "
+    "item items label link links list main outer panel post posts row section slot text title top bottom unit wrap wrapper".split()
+)
 FEATURES = (
     "words", "link_density", "previous_words", "previous_density", "next_words", "next_density",
-    "in_main", "in_aside", "heading",
+    "in_aside", "heading", "main_elsewhere",
 )
 
 # Labelled blocks: the features above, then 1 for content and 0 for boilerplate.
-LABELLED = [
+IN_MAIN = [
     # paragraphs and short lines of an article
-    (85, 0.00, 40, 0.00, 60, 0.00, 1, 0, 0, 1), (120, 0.02, 85, 0.00, 30, 0.00, 1, 0, 0, 1),
-    (3, 0.00, 90, 0.00, 70, 0.00, 1, 0, 0, 1), (1, 0.00, 45, 0.00, 1, 0.00, 1, 0, 0, 1),
-    (1, 0.00, 1, 0.00, 12, 0.00, 1, 0, 0, 1), (12, 0.00, 6, 0.00, 110, 0.00, 1, 0, 0, 1),
-    (40, 0.30, 80, 0.00, 25, 0.10, 1, 0, 0, 1), (8, 1.00, 60, 0.00, 75, 0.00, 1, 0, 0, 1),
-    (2, 0.00, 0, 0.00, 0, 0.00, 1, 0, 0, 1), (30, 0.00, 5, 1.00, 12, 0.20, 1, 0, 0, 1),
-    (2, 1.00, 30, 0.00, 50, 0.00, 1, 0, 0, 1), (1, 1.00, 4, 0.00, 20, 0.00, 1, 0, 0, 1),
+    (85, 0.00, 40, 0.00, 60, 0.00, 0, 0, 0, 1), (120, 0.02, 85, 0.00, 30, 0.00, 0, 0, 0, 1),
+    (3, 0.00, 90, 0.00, 70, 0.00, 0, 0, 0, 1), (1, 0.00, 45, 0.00, 1, 0.00, 0, 0, 0, 1),
+    (2, 0.00, 1, 0.00, 12, 0.00, 0, 0, 0, 1), (12, 0.00, 6, 0.00, 110, 0.00, 0, 0, 0, 1),
+    (40, 0.30, 80, 0.00, 25, 0.10, 0, 0, 0, 1), (8, 1.00, 60, 0.00, 75, 0.00, 0, 0, 0, 1),
+    (2, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 1), (2, 1.00, 30, 0.00, 50, 0.00, 0, 0, 0, 1),
     # headings of an article
-    (7, 0.00, 4, 1.00, 90, 0.00, 1, 0, 1, 1), (11, 0.00, 10, 0.00, 40, 0.00, 1, 0, 1, 1),
-    (2, 0.00, 60, 0.00, 33, 0.00, 1, 0, 1, 1), (5, 1.00, 1, 1.00, 80, 0.00, 1, 0, 1, 1),
-    # paragraphs of pages without a main element
+    (7, 0.00, 4, 1.00, 90, 0.00, 0, 1, 0, 1), (2, 0.00, 60, 0.00, 33, 0.00, 0, 1, 0, 1),
+    (5, 1.00, 1, 1.00, 80, 0.00, 0, 1, 0, 1),
+    # menus, adverts, side bars, forms and reader comments inside it
+    (2, 1.00, 5, 0.00, 4, 1.00, 1, 0, 0, 0), (7, 0.60, 80, 0.00, 8, 0.70, 1, 0, 0, 0),
+    (30, 0.10, 45, 0.00, 50, 0.00, 1, 0, 0, 0), (90, 0.00, 70, 0.00, 45, 0.00, 1, 0, 0, 0),
+    (3, 0.00, 30, 0.00, 1, 0.00, 1, 1, 0, 0),
+]
+OUTSIDE = [
+    # paragraphs, short ones and the last one included, of pages without a main element
     (70, 0.00, 4, 1.00, 55, 0.00, 0, 0, 0, 1), (55, 0.05, 70, 0.00, 3, 0.00, 0, 0, 0, 1),
-    (34, 0.00, 60, 0.00, 45, 0.00, 0, 0, 0, 1), (9, 0.00, 65, 0.00, 80, 0.00, 0, 0, 0, 1),
-    (4, 0.00, 48, 0.00, 52, 0.00, 0, 0, 0, 1), (22, 0.00, 7, 0.00, 31, 0.00, 0, 0, 0, 1),
-    (16, 0.10, 50, 0.00, 2, 1.00, 0, 0, 0, 1), (6, 0.00, 2, 1.00, 90, 0.00, 0, 0, 1, 1),
-    (3, 0.00, 75, 0.00, 40, 0.00, 0, 0, 1, 1), (18, 0.00, 3, 1.00, 0, 0.00, 0, 0, 0, 1),
+    (9, 0.00, 65, 0.00, 80, 0.00, 0, 0, 0, 1), (4, 0.00, 48, 0.00, 52, 0.00, 0, 0, 0, 1),
+    (22, 0.00, 7, 0.00, 31, 0.00, 0, 0, 0, 1), (16, 0.10, 50, 0.00, 2, 1.00, 0, 0, 0, 1),
+    (18, 0.00, 3, 1.00, 0, 0.00, 0, 0, 0, 1), (3, 0.00, 6, 0.00, 0, 0.00, 0, 0, 0, 1),
+    (1, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 1), (2, 0.00, 1, 0.00, 9, 0.00, 0, 0, 0, 1),
+    (2, 0.00, 1, 1.00, 4, 0.00, 0, 0, 0, 1), (2, 0.00, 12, 0.00, 1, 1.00, 0, 0, 0, 1),
+    (20, 0.40, 30, 0.00, 25, 0.00, 0, 0, 0, 1), (40, 0.00, 2, 1.00, 2, 1.00, 0, 0, 0, 1),
+    (12, 0.00, 3, 1.00, 3, 1.00, 0, 0, 0, 1), (3, 0.00, 3, 0.00, 2, 1.00, 0, 0, 0, 1),
+    # headings of such pages
+    (6, 0.00, 2, 1.00, 90, 0.00, 0, 1, 0, 1), (3, 0.00, 75, 0.00, 40, 0.00, 0, 1, 0, 1),
+    (2, 0.00, 0, 0.00, 2, 0.00, 0, 1, 0, 1),
     # menus, link lists and bread crumbs
-    (1, 1.00, 0, 0.00, 1, 1.00, 0, 1, 0, 0), (1, 1.00, 1, 1.00, 1, 1.00, 0, 1, 0, 0),
-    (2, 1.00, 1, 1.00, 9, 0.00, 0, 1, 0, 0), (4, 1.00, 3, 1.00, 5, 1.00, 0, 0, 0, 0),
-    (6, 0.80, 2, 1.00, 2, 1.00, 0, 0, 0, 0), (3, 1.00, 60, 0.00, 2, 1.00, 0, 0, 0, 0),
-    (2, 1.00, 2, 1.00, 70, 0.00, 0, 0, 0, 0), (15, 0.90, 4, 1.00, 6, 1.00, 0, 0, 0, 0),
-    (2, 1.00, 5, 0.00, 4, 1.00, 1, 1, 0, 0), (7, 0.60, 80, 0.00, 8, 0.70, 1, 1, 0, 0),
-    # footers, notices and short leftovers outside any main element
-    (9, 0.00, 80, 0.00, 0, 0.00, 0, 1, 0, 0), (25, 0.00, 60, 0.00, 0, 0.00, 0, 1, 0, 0),
-    (60, 0.00, 3, 1.00, 20, 0.00, 0, 1, 0, 0), (4, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0),
-    (3, 0.00, 6, 0.00, 0, 0.00, 0, 0, 0, 0), (2, 0.00, 1, 1.00, 4, 0.00, 0, 0, 0, 0),
-    (5, 0.00, 0, 0.00, 2, 1.00, 0, 0, 0, 0), (3, 0.40, 4, 0.50, 2, 0.00, 0, 0, 0, 0),
-    # adverts, side bars, forms and reader comments, also inside the main element
-    (8, 0.00, 2, 1.00, 7, 0.00, 0, 1, 0, 0), (30, 0.10, 45, 0.00, 50, 0.00, 1, 1, 0, 0),
-    (90, 0.00, 70, 0.00, 45, 0.00, 1, 1, 0, 0), (45, 0.00, 4, 0.00, 38, 0.00, 0, 1, 0, 0),
-    (2, 0.00, 45, 0.00, 38, 0.00, 0, 1, 1, 0), (6, 0.50, 40, 0.00, 3, 1.00, 0, 1, 1, 0),
-    (3, 0.00, 30, 0.00, 1, 0.00, 1, 1, 1, 0), (14, 0.00, 3, 0.00, 0, 0.00, 0, 1, 0, 0),
+    (1, 1.00, 0, 0.00, 1, 1.00, 1, 0, 0, 0), (2, 1.00, 1, 1.00, 9, 0.00, 1, 0, 0, 0),
+    (4, 1.00, 3, 1.00, 5, 1.00, 0, 0, 0, 0), (6, 0.80, 2, 1.00, 2, 1.00, 0, 0, 0, 0),
+    (3, 1.00, 60, 0.00, 2, 1.00, 0, 0, 0, 0), (2, 1.00, 2, 1.00, 70, 0.00, 0, 0, 0, 0),
+    (15, 0.90, 4, 1.00, 6, 1.00, 0, 0, 0, 0), (3, 0.60, 4, 0.50, 2, 0.00, 0, 0, 0, 0),
+    # labels of menus: short and among links
+    (4, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0), (1, 0.00, 1, 1.00, 1, 1.00, 0, 0, 0, 0),
+    # footers, notices, adverts, side bars, forms and reader comments
+    (9, 0.00, 80, 0.00, 0, 0.00, 1, 0, 0, 0), (25, 0.00, 60, 0.00, 0, 0.00, 1, 0, 0, 0),
+    (60, 0.00, 3, 1.00, 20, 0.00, 1, 0, 0, 0), (8, 0.00, 2, 1.00, 7, 0.00, 1, 0, 0, 0),
+    (45, 0.00, 4, 0.00, 38, 0.00, 1, 0, 0, 0), (2, 0.00, 45, 0.00, 38, 0.00, 1, 1, 0, 0),
+    (14, 0.00, 3, 0.00, 0, 0.00, 1, 0, 0, 0), (2, 0.00, 1, 0.00, 4, 0.00, 1, 0, 0, 0),
+    # whatever stands outside the main element of a page that has one
+    (12, 0.00, 1, 1.00, 7, 0.00, 0, 0, 1, 0), (60, 0.00, 40, 0.00, 30, 0.00, 0, 0, 1, 0),
+    (3, 0.00, 90, 0.00, 0, 0.00, 0, 0, 1, 0), (5, 0.00, 2, 1.00, 60, 0.00, 0, 1, 1, 0),
+    (1, 0.00, 0, 0.00, 2, 0.00, 0, 0, 1, 0), (30, 0.00, 20, 0.00, 15, 0.00, 0, 0, 1, 0),
+    (9, 0.00, 8, 0.00, 80, 0.00, 0, 0, 1, 0), (2, 0.00, 30, 0.00, 9, 0.00, 0, 0, 1, 0),
 ]
 
 
@@ -119,16 +140,19 @@ def classify(tree, features: tuple) -> bool:
     return bool(tree)
 
 
-def _marked(attributes: str) -> bool:
-    """Whether class, id or role holds one of the marks, as a word of its own."""
+def _marked(attributes: str, inside: bool) -> bool:
+    """Whether class, id or role holds one of the marks, as a word of its own; ``inside`` a main element
+    one of its names must hold no other meaning."""
     import re
 
     for name, a, b, c in re.findall(
         r"""(?i)(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", attributes
     ):
-        value = re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()
-        if not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+        value = re.sub(r"([a-z])([A-Z])", r"\1-\2", a or b or c).lower()
+        for part in value.split() if inside and name.lower() != "role" else [value]:
+            words = {w for w in re.split(r"[^a-z]+", part) if w}
+            if not MARKS.isdisjoint(words) and not (inside and words - MARKS - PLAIN):
+                return True
     return False
 
 
@@ -236,7 +260,7 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             continue
         m = tag in MAIN
         s = tag in ASIDE or (tag == "header" and not main) or (
-            tag not in ("html", "body", "article", "main") and "=" in attributes and _marked(attributes)
+            tag not in ("html", "body", "article", "main") and "=" in attributes and _marked(attributes, main > 0)
         )
         q = tag in SILENT
         stack.append((tag, m, s, q))
@@ -275,26 +299,29 @@ def _raw_end(html: str, tag: str, at: int) -> int:
     return found.end() if found else -1
 
 
-def main_text(html: str | None, tree) -> str:
+def main_text(html: str | None, trees: tuple) -> str:
+    inside, outside = trees
     rows = blocks(html or "")
+    elsewhere = any(main and not aside for *_, main, aside, _ in rows)
     kept = []
     for i, (text, words, density, main, aside, heading) in enumerate(rows):
         before = rows[i - 1] if i else ("", 0, 0.0)
         after = rows[i + 1] if i + 1 < len(rows) else ("", 0, 0.0)
-        if classify(tree, (words, density, before[1], before[2], after[1], after[2], main, aside, heading)):
+        features = (words, density, before[1], before[2], after[1], after[2], aside, heading, elsewhere and not main)
+        if classify(inside if main else outside, features):
             kept.append(text)
     return "\n".join(kept)
 
 
-def extract(pages: DataFrame, labelled: list[tuple] | None = None) -> DataFrame:
+def extract(pages: DataFrame, in_main: list[tuple] = IN_MAIN, outside: list[tuple] = OUTSIDE) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    tree = grow(labelled or LABELLED)
+    trees = grow(in_main), grow(outside, depth=8)
 
     def texts(batches):
         for batch in batches:
             yield pd.DataFrame({
                 "page_id": batch["page_id"], "url": batch["url"],
-                "text": [main_text(h, tree) for h in batch["html"]],
+                "text": [main_text(h, trees) for h in batch["html"]],
             })
 
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")

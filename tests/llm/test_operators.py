@@ -1,6 +1,8 @@
 """Each registered text query against its SQL, on rows made to be awkward; brute-force checks for the rest."""
 
 import random
+from html.parser import HTMLParser
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -14,6 +16,7 @@ from crossrank.llm import (
 )
 
 CLASH = "size target h key n sig u v copies label place cut_bucket room lines frequent host k c token hits items url2 copy".split()
+TREES = html_extract.grow(html_extract.IN_MAIN), html_extract.grow(html_extract.OUTSIDE, depth=8)
 LINE = "this line of the site stands on each and every page"
 
 
@@ -199,17 +202,72 @@ PAGE = """<html><head><title>T</title><script>if (a<b) "</p>"</script></head><bo
 
 
 def test_html_blocks():
-    tree = html_extract.grow(html_extract.LABELLED)
-    assert all(html_extract.classify(tree, r[:-1]) == bool(r[-1]) for r in html_extract.LABELLED)
+    tree = TREES
+    for grown, rows in zip(TREES, (html_extract.IN_MAIN, html_extract.OUTSIDE)):
+        assert all(html_extract.classify(grown, r[:-1]) == bool(r[-1]) for r in rows)
     assert html_extract.main_text(PAGE, tree) == "Head & tail\nFirst para­graph with bold text, 1 < 2.\nOk.\nx y"
     for cut in range(0, len(PAGE), 7):
         html_extract.main_text(PAGE[:cut], tree)
     assert html_extract.main_text(None, tree) == html_extract.main_text("", tree) == ""
 
 
+class ArticleReader(HTMLParser):
+    """The blocks of an article as the standard library reads them; a paragraph or heading each."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.parts, self.found = False, [], []
+
+    def flush(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.found.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("article", "p", "h1", "h2", "h3", "ul", "li", "div", "blockquote"):
+            self.flush()
+        self.inside |= tag == "article"
+        self.parts += [" "] * (tag == "br")
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "p", "h1", "h2", "h3", "ul", "li", "div", "blockquote"):
+            self.flush()
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        self.parts += [data] * self.inside
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01/pages.parquet").exists(), reason="needs the given pages")
+def test_given_pages_lose_no_block(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    texts = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    for row in pages.collect():
+        reader = ArticleReader()
+        reader.feed(row["html"])
+        reader.close()
+        assert texts[row["page_id"]] == "\n".join(reader.found), row["page_id"]
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><h1>Two words</h1><p>" + "long " * 20 + "</p></article>", "Two words\n" + " ".join(["long"] * 20)),
+    ("<article><p>One.</p><p>Two words.</p><p>" + "long " * 12 + "</p></article>", "One.\nTwo words.\n" + " ".join(["long"] * 12)),
+    ("<h1>Title</h1><p>Short text.</p>", "Title\nShort text."),
+    ("<nav><a href=/>Home</a></nav><h1>Title</h1><p>Some words here.</p><p>The end.</p><footer>Notice</footer>", "Title\nSome words here.\nThe end."),
+    ("<ul><li><a href=/>Home</a><li><a href=/b>News</a></ul><p>Text of this page.</p><p>Last.</p><a href=/c>More</a>", "Text of this page.\nLast."),
+    ("<div>Buy now</div><article><p>Yes.</p></article><p>" + "outside " * 40 + "</p>", "Yes."),
+    ('<article><p class="share-prices">Up.</p><div id="social-history">Old.</div><p class="related-terms">See.</p></article>', "Up.\nOld.\nSee."),
+    ('<article><p>Text.</p><div class="share-buttons">Tell all</div><div class="comment-list">Great!</div><p class="adBox">Buy</p></article>', "Text."),
+    ("<article></article><p>Only this.</p>", "Only this."),
+    ("<article><p>" + "very long text " * 200_000 + "</p></article>", " ".join(["very long text"] * 200_000)),
+])
+def test_short_and_long_blocks(page, text):
+    assert html_extract.main_text(page, TREES) == text
+
+
 @pytest.mark.parametrize("start", ["<body>", "", "<p>", "<img src=x>", "Some text, ", "1 < 2 "])
 def test_html_without_head_end(start):
-    tree = html_extract.grow(html_extract.LABELLED)
+    tree = TREES
     page = "<html><head><meta charset=utf-8><title>T</title><style>x</style><template><p>no</p></template>{}{}<article><p>"
     page += "the first paragraph with a few words in it</p><p>Second.</p></article></body></html>"
     text = html_extract.main_text(page.format("", start), tree)
