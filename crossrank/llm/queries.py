@@ -84,17 +84,11 @@ def op7_quality_classifier(spark, folder):
 
 @query(sql.URL_FILTER)
 def op8_url_filter(spark, folder):
+    """Hosts under rules of both kinds are seeds on both sides; scores are iterated to their end."""
     rules = url_filter.rules_table(spark, url_filter.RULES)
     return url_filter.judge(table(spark, folder, "pages"), rules)
 
 
-@query(sql.URL_TRUST)
-def op8_url_trust(spark, folder):
-    """The whole method: hosts under rules of both kinds are seeds too, and scores are iterated to their end."""
-    rules = url_filter.rules_table(spark, url_filter.RULES)
-    return url_filter.judge_shared(table(spark, folder, "pages"), rules)
-
-
 @query(sql.ARCHIVES)
 def op9_archives(spark, folder):
     """Pages as ARC files, converted to WARC files, read back."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from crossrank.llm.license_scan import template_rows
-from crossrank.llm.url_filter import DAMPING, ROUNDS, RULES
+from crossrank.llm.url_filter import DAMPING, RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -157,18 +157,10 @@ FROM judged
 
 
 def _url_filter() -> str:
+    """Seeds by share of pages, and 150 rounds (a gain of 0.85 ** 150 at most)."""
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
-    rounds = []
-    for i in range(1, ROUNDS + 1):
-        rounds.append(f"""score{i} AS (
-    SELECT kind, host, sum(score) AS score FROM (
-        SELECT * FROM score0
-        UNION ALL
-        SELECT s.kind, w.b, s.score * w.share * {DAMPING} FROM score{i - 1} s
-        JOIN shares w ON s.kind = w.way AND s.host = w.a
-    ) GROUP BY kind, host)""")
     return rf"""
-WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
+WITH RECURSIVE rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
 parts AS (
     SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS html,
            translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
@@ -190,31 +182,7 @@ parts AS (
     SELECT 'trust' AS way, src AS a, dst AS b, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges
 ), shares AS (
     SELECT way, a, b, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY way, a) AS share FROM ways
-), score0 AS (
-    SELECT CASE WHEN count(*) FILTER (verdict = 'allow') > 0 THEN 'trust' ELSE 'distrust' END AS kind,
-           host, 1.0::DOUBLE * (1 - {DAMPING}::DOUBLE) AS score
-    FROM matched WHERE verdict IS NOT NULL GROUP BY host
-    HAVING count(DISTINCT verdict) = 1
-), {", ".join(rounds)}, hosts AS (
-    SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust,
-           coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust
-    FROM score{ROUNDS} GROUP BY host
-)
-SELECT page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN coalesce(distrust, 0) > 0.02 AND coalesce(distrust, 0) > coalesce(trust, 0)
-                              THEN 'block' ELSE 'allow' END) AS verdict,
-       round(coalesce(trust, 0.0), 6) AS trust, round(coalesce(distrust, 0.0), 6) AS distrust
-FROM matched LEFT JOIN hosts USING (host)
-"""
-
-
-URL_FILTER = _url_filter()
-
-
-def _url_trust() -> str:
-    """The rules and links of ``URL_FILTER``; seeds by share of pages, and 150 rounds (a gain of 0.85 ** 150 at most)."""
-    start = URL_FILTER.index("), score0 AS (")
-    return f"""{URL_FILTER[:start].replace("WITH rules(", "WITH RECURSIVE rules(", 1)}), sides AS (
+), sides AS (
     SELECT host, count(*) FILTER (verdict = 'allow') AS yes, count(*) FILTER (verdict = 'block') AS no
     FROM matched WHERE verdict IS NOT NULL GROUP BY host
 ), start AS (
@@ -237,7 +205,7 @@ FROM matched LEFT JOIN hosts USING (host)
 """
 
 
-URL_TRUST = _url_trust()
+URL_FILTER = _url_filter()
 
 ARCHIVES = """
 WITH payloads AS (

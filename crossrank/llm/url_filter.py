@@ -2,28 +2,24 @@
 
 ``parse`` splits a url; ``match_rules`` finds the longest fitting rule: every suffix of the host
 is looked up among the rules by an equality join, so the number of rules does not multiply the
-pages.  ``propagate`` runs personalised PageRank over host edges: trust flows from hosts whose
-pages rules allow along the links, distrust from hosts whose pages rules block against them.
-``judge`` gives each page its rule's verdict, else its host's: blocked when its distrust is above
-``threshold`` and above its trust, else allowed.
-
-``judge_shared`` is the whole method: a host under allow and block rules is a seed on both sides, by the
-share of its pages (``shared_seeds``), scores are iterated until no host gains more than a tolerance
-(``converge``), and a host is blocked by the share of distrust in what it received, however little that is.
-``judge`` seeds only hosts under rules of one kind and ends after ``ROUNDS`` rounds, as its SQL states.
+pages.  ``converge`` runs personalised PageRank over host edges: trust flows along the links from
+hosts with pages that rules allow, distrust against them from hosts with pages that rules block.
+A host under rules of both kinds is a seed on both sides, by the share of its pages (``seeds``).  Scores are
+iterated until no host gains more than a tolerance.  ``judge`` gives each page its rule's verdict,
+else its host's: blocked when distrust is more than ``share`` of what the host received, however little that is.
 
 Edges are distinct host pairs with the number of links as weight, so a popular host is one row per
 neighbour, and the mass a host receives is summed before it is shuffled.  Every round is written
 to the shared folder.
 
 Defined results: a null url or one without ``://`` has an empty host and path and fits no rule;
-null html has no links; repeated rows are judged alike; links to the own host do not count.
+null html has no links; repeated rows are judged alike and their links count each; links to the own
+host do not count; a host that nothing reaches is allowed; pages of any length are read whole; an
+empty table gives no rows.  Only page_id, url and html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +37,7 @@ RULES = [
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 DAMPING = 0.85
-ROUNDS = 8
-# Of ``converge``: the largest gain of a host in the last round, far below the six places given out,
+# The largest gain of a host in the last round, far below the six places given out,
 # and the rounds between two looks at it.
 TOLERANCE = 1e-9
 STEP = 4
@@ -101,16 +96,6 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def seeds(matched: DataFrame) -> DataFrame:
-    """Hosts whose pages rules only allow (trust) or only block (distrust), with their seed mass."""
-    sides = matched.where(F.col("verdict").isNotNull()).groupBy("host").agg(
-        F.count_if(F.col("verdict") == "allow").alias("allowed"), F.count_if(F.col("verdict") == "block").alias("blocked")
-    )
-    return sides.where("allowed = 0 or blocked = 0").select(
-        F.when(F.col("allowed") > 0, "trust").otherwise("distrust").alias("kind"), "host", F.lit(1.0).alias("seed")
-    )
-
-
-def shared_seeds(matched: DataFrame) -> DataFrame:
     """Every host with ruled pages: trust by its share of allowed ones, distrust by that of blocked ones."""
     sides = matched.where(F.col("verdict").isNotNull()).groupBy("host").agg(
         F.count_if(F.col("verdict") == "allow").alias("allowed"), F.count_if(F.col("verdict") == "block").alias("blocked")
@@ -134,32 +119,11 @@ def link_shares(edges: DataFrame) -> DataFrame:
     )
 
 
-def propagate(edges: DataFrame, seed: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(kind, host, seed) -> (kind, host, score) after ``rounds`` rounds.
-
-    score = (1 - damping) * seed + damping * the shares of the neighbours' scores.  Trust follows
-    links, distrust goes back along them.  Without links the scores are final at once.
-    """
-    shares = link_shares(edges)
-    base = seed.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
-    scores = stage(base, "trust_seeds")
-    if shares.isEmpty():
-        return scores
-    start = scores
-    for _ in range(rounds):
-        moved = scores.join(
-            shares, (F.col("kind") == F.col("way")) & (F.col("host") == F.col("a"))
-        ).select("kind", F.col("b").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        scores = stage(
-            start.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score")), "trust_scores"
-        )
-    return scores
-
-
 def converge(edges: DataFrame, seed: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
-    """(kind, host, seed) -> (kind, host, score), the fixed point of ``propagate``.
+    """(kind, host, seed) -> (kind, host, score).
 
-    ``gain`` is what the last round added to a host.  The sum of gains falls by ``damping`` a round
+    score = (1 - damping) * seed + damping * the shares of the neighbours' scores, at its fixed
+    point.  Trust follows links, distrust goes back along them.  ``gain`` is what the last round added to a host.  The sum of gains falls by ``damping`` a round
     at least, so the rounds end; ``STEP`` of them are written at once.
     """
     shares = link_shares(edges)
@@ -179,29 +143,19 @@ def converge(edges: DataFrame, seed: DataFrame, tolerance: float = TOLERANCE, da
     return scores.select("kind", "host", "score")
 
 
-def judge(pages: DataFrame, rules: DataFrame, threshold: float = 0.02, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, share: float = 0.5, tolerance: float = TOLERANCE) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust."""
     matched = stage(match_rules(pages, rules), "url_rules")
-    scores = propagate(host_edges(pages), seeds(matched), rounds)
-    return _verdicts(matched, scores, lambda trust, distrust: (distrust > threshold) & (distrust > trust))
-
-
-def judge_shared(pages: DataFrame, rules: DataFrame, share: float = 0.5, tolerance: float = TOLERANCE) -> DataFrame:
-    """As ``judge``, from seeds of both sides: blocked when distrust is above ``share`` of what the host received."""
-    matched = stage(match_rules(pages, rules), "url_rules")
-    scores = converge(host_edges(pages), shared_seeds(matched), tolerance)
-    return _verdicts(matched, scores, lambda trust, distrust: distrust > share * (trust + distrust))
-
-
-def _verdicts(matched: DataFrame, scores: DataFrame, blocked: Callable[[Column, Column], Column]) -> DataFrame:
+    scores = converge(host_edges(pages), seeds(matched), tolerance)
     per_host = stage(scores.groupBy(F.col("host").alias("h")).agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"),
     ), "host_trust")
     trust = F.coalesce("trust", F.lit(0.0))
     distrust = F.coalesce("distrust", F.lit(0.0))
+    blocked = distrust > share * (trust + distrust)
     return matched.join(per_host, F.col("host") == F.col("h"), "left").select(
         "page_id", "host", "path", "rule",
-        F.coalesce("verdict", F.when(blocked(trust, distrust), "block").otherwise("allow")).alias("verdict"),
+        F.coalesce("verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"),
         F.round(trust, 6).alias("trust"), F.round(distrust, 6).alias("distrust"),
     )
