@@ -11,7 +11,8 @@ Lines of fewer than ``min_words`` words never count as boilerplate: they recur b
 
 Defined results: a null source counts as the empty one; null and
 empty texts have no lines and stay as they are; lines without a word are kept; a null id is the
-smallest; identical rows lose the same lines and, where they hold the kept copy, all keep it;
+smallest; rows of one id are one document, whatever their sites and texts: where it is the one that
+keeps a line, they all keep it; an empty table gives no rows;
 texts and lines of any length are used whole; columns other than text pass through unchanged.
 """
 
@@ -73,7 +74,7 @@ def boilerplate(
 def dedup(
     docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K, band: float = BAND
 ) -> DataFrame:
-    """The documents with boilerplate lines removed; adds ``n_lines`` and ``n_removed``.
+    """The documents with boilerplate lines removed; adds ``n_lines`` and ``n_removed``, in place of columns of that name.
 
     Lines to remove are found on (document, hash) rows; each document then gets its own list, and
     only the text of the document itself is rewritten.
@@ -105,8 +106,9 @@ def dedup(
     out = with_place.withColumn("__kept", kept)
     n_lines, n_kept = F.size("__lines"), F.size("__kept")
     text = F.when(n_kept == n_lines, F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda x: x["line"]), "\n"))
+    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return out.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        *[text.alias("text") if c == "text" else F.col(c) for c in kept_columns],
         F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
         (n_lines - n_kept).cast("long").alias("n_removed"),
     )
@@ -114,6 +116,7 @@ def dedup(
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """Documents after line dedup, without those whose every line stands elsewhere."""
-    out = dedup(docs, **options)
+    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__row"))
+    out = dedup(packed, **options)
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return out.where(~emptied).select(*docs.columns)
+    return out.where(~emptied).select(*[F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])

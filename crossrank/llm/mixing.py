@@ -11,7 +11,7 @@ part is cut by a running total over ``BUCKETS`` hash ranges; only documents of t
 cut falls in are ordered, so no source is ever sorted as a whole.
 
 Nulls: a null text or size counts 0 words; null is a source like any other, sorted last.  A
-document of size 0 follows the whole part of the rate.  Repeated rows are separate documents with
+document of size 0 follows the whole part of the rate (and its draw, outside the range of the cut).  Repeated rows are separate documents with
 the same draw.  An empty table gives an empty result.  Only columns starting with ``__mix_`` are
 reserved; all others pass through.
 """
@@ -108,7 +108,8 @@ def repetitions(sized: DataFrame, plan: DataFrame, seed: str = "mix") -> DataFra
     order = Window.partitionBy("source").orderBy("__mix_digest", F.col("doc_id").asc_nulls_first(), "size")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = rows.where(at_cut).withColumn(
-        "copies", F.col("__mix_whole") + (2 * before + F.col("size") <= 2 * F.col("__mix_room")).cast("long")
+        "copies",
+        F.col("__mix_whole") + ((F.col("size") > 0) & (2 * before + F.col("size") <= 2 * F.col("__mix_room"))).cast("long"),
     )
     both = clear.unionByName(edge)
     return both.drop(*[c for c in both.columns if c.startswith("__mix_")])
@@ -122,10 +123,10 @@ def mix_plan(docs: DataFrame, weigh=cyclic_weights, max_epochs: int = 3, seed: s
 
 
 def mix(docs: DataFrame, weigh=cyclic_weights, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """The mixed corpus itself: every document as often as it was drawn, numbered by ``copy``."""
+    """The mixed corpus itself: every document as often as it was drawn, numbered by ``copy`` (in place of a column of that name)."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     plan = stage(cuts(sized, weigh, max_epochs, seed), "mix_cuts")
-    kept = docs.columns
+    kept = [c for c in docs.columns if c != "copy"]
     rows = docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*kept).alias("__row")
     )

@@ -11,8 +11,8 @@ a word's sum is computed once per task and looked up afterwards.  Documents are
 
 Defined results: null and empty texts have no feature and get the bias alone; without labels, or
 with labels of one class only, every score is that class's smoothed share; a doc_id with several
-labels takes their majority (a tie counts as 1); null labels and ids are not learned from;
-repeated rows score alike; only the named columns are read.  Reruns agree: rows, order and
+labels takes their majority (a tie counts as 1), one with several texts the smallest of them; null
+labels and ids are not learned from; repeated rows score alike; only the named columns are read.  Reruns agree: rows, order and
 starting vectors depend on ids and the seed only.
 """
 
@@ -93,7 +93,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
         .select(F.col("doc_id").alias("label_id"), "label")
     )
     # At most max_rows rows, so this side may be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    # One row per id, the smallest text, before anything is collected.
+    rows = found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def features(batches):
         known: dict = {}

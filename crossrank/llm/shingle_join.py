@@ -104,19 +104,19 @@ def _linked(overlap: Column, n: Column, m: Column) -> Column:
 # ---- steps ---------------------------------------------------------------------------------
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sig: size and signature of every document's set (sig null if empty)."""
+    """doc_id, key (of the text), n, sig: size and signature of every document's set (sig null if empty)."""
 
     def measure(batches):
         known = _Words()
         for batch in batches:
             found = [_tokens(t, known) for t in batch["text"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "n": [len(x) for x in found],
+                "doc_id": batch["doc_id"].astype("Int64"), "key": batch["key"], "n": [len(x) for x in found],
                 "sig": pd.array([_signature(x) if len(x) else None for x in found], dtype="Int64"),
             })
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(measure, "doc_id long, n long, sig long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    return rows.mapInPandas(measure, "doc_id long, key long, n long, sig long")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
@@ -368,13 +368,18 @@ def links(docs: DataFrame, measured: DataFrame) -> DataFrame:
     return star.unionByName(verify(crossing, index))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of the text), n, comp: the component of every document, null without words."""
     measured = stage(sets(docs), "sets")
     roots = components(links(docs, measured))
-    named = measured.join(roots, F.col("sig") == F.col("u"), "left").select(
-        "doc_id", "n", F.coalesce("v", "sig").alias("comp")
+    return measured.join(roots, F.col("sig") == F.col("u"), "left").select(
+        "doc_id", "key", "n", F.coalesce("v", "sig").alias("comp")
     )
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    named = labelled(docs)
     lowest = stage(
         named.where("comp is not null").groupBy(F.col("comp").alias("c")).agg(F.min("doc_id").alias("lowest")), "lowest_ids"
     )
@@ -387,9 +392,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those that link, directly or not, to one of a smaller id.
 
-    Of repeated rows (same id and text) one stays.
+    Of texts with one id in one component that with the smallest hash stays, and of repeated rows
+    (same id and text) the one whose other columns hash lowest.  All columns pass through.
     """
-    found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    named = stage(labelled(docs), "labelled")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("first")
+    kept = named.where("comp is not null").groupBy("comp").agg(first).select("first.doc_id", "first.key").unionByName(
+        named.where("comp is null").select("doc_id", "key").distinct()
+    )
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_key"),
+        F.xxhash64(*docs.columns).alias("order"), F.struct(*docs.columns).alias("row"),
+    )
+    chosen = rows.join(
+        kept, rows["id"].eqNullSafe(kept["doc_id"]) & (rows["text_key"] == kept["key"]), "left_semi"
+    )
+    return chosen.groupBy("id", "text_key").agg(F.min_by("row", "order").alias("row")).select("row.*")
