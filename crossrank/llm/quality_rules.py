@@ -12,7 +12,8 @@ need no second shuffle of their lines; hosts are joined by whatever size Spark m
 
 Defined results: a null or empty text has no words and no lines and fails the base rules; a line
 without a word is no line; every row is one document, repeated rows too; null is a host of its
-own.  Very long texts and lines are used whole.
+own.  Very long texts and lines are used whole.  Empty tables give no rows.  ``judge`` reads doc_id,
+source and text only; ``without_frequent_lines`` passes every other column on unchanged, whatever its name.
 """
 
 from __future__ import annotations
@@ -40,6 +41,10 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(F.trim(F.regexp_replace(lower_ascii(line), SPACES, " ")))
+
+
 def repeated_words(tokens: Column, width: int = 3) -> Column:
     """How many words stand in windows of ``width`` words that occur more than once in the text.
 
@@ -82,11 +87,7 @@ def measures(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = docs.select("doc_id", "source", text.alias("text"), words(text).alias("t"), lines(text).alias("l"))
     normal = F.transform(
-        F.col("l"),
-        lambda x: F.struct(
-            F.xxhash64(F.trim(F.regexp_replace(lower_ascii(x), SPACES, " "))).alias("h"),
-            F.regexp_count(x, F.lit(WORD)).alias("n"),
-        ),
+        F.col("l"), lambda x: F.struct(line_hash(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n"))
     )
     return parts.select(
         "doc_id",
@@ -102,9 +103,7 @@ def measures(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(docs: DataFrame, min_docs: int = 5, max_share: float = 0.1) -> DataFrame:
     """Per host the hashes of its lines above both limits, and its number of documents."""
-    normal = F.transform(
-        lines(F.col("text")), lambda x: F.xxhash64(F.trim(F.regexp_replace(lower_ascii(x), SPACES, " ")))
-    )
+    normal = F.transform(lines(F.col("text")), line_hash)
     counts = (
         docs.select("source", F.explode(F.array_distinct(normal)).alias("h"))
         .groupBy("source", "h")
@@ -119,8 +118,20 @@ def frequent_lines(docs: DataFrame, min_docs: int = 5, max_share: float = 0.1) -
     return above.groupBy(F.col("source").alias("host")).agg(F.collect_list("h").alias("frequent"))
 
 
+def without_frequent_lines(docs: DataFrame, min_docs: int = 5, max_share: float = 0.1) -> DataFrame:
+    """The documents with the lines above the limits removed; lines without a word stay."""
+    frequent = stage(frequent_lines(docs, min_docs, max_share), "frequent_lines").withColumnsRenamed(
+        {"host": "__host", "frequent": "__frequent"}
+    )
+    rows = docs.join(frequent, docs["source"].eqNullSafe(frequent["__host"]), "left")
+    gone = lambda x: x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains("__frequent", line_hash(x))
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~gone(x)), "\n")
+    text = F.when(F.col("__frequent").isNull(), F.col("text")).otherwise(left)
+    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+
+
 def judge(docs: DataFrame, min_docs: int = 5, max_share: float = 0.1, min_kept: float = 0.3) -> DataFrame:
-    """One row per document: the base measures, words left after line removal, and the verdict."""
+    """One row per document: the base measures, the words ``without_frequent_lines`` leaves, and the verdict."""
     frequent = stage(frequent_lines(docs, min_docs, max_share), "frequent_lines")
     rows = measures(docs).join(frequent, F.col("source").eqNullSafe(F.col("host")), "left")
     removed = F.aggregate(

@@ -1,6 +1,7 @@
 """Each registered text query against its SQL, on rows made to be awkward; brute-force checks for the rest."""
 
 import random
+import re
 from html.parser import HTMLParser
 from pathlib import Path
 
@@ -12,7 +13,7 @@ import pytest
 
 from compare import compare
 from crossrank.llm import (
-    archives, decontaminate, html_extract, line_dedup, mixing, quality_classifier, queries, shingle_join, url_filter,
+    archives, decontaminate, html_extract, line_dedup, mixing, quality_classifier, quality_rules, queries, shingle_join, url_filter,
 )
 
 CLASH = "size target h key n sig u v copies label place cut_bucket room lines frequent host k c token hits items url2 copy".split()
@@ -69,13 +70,15 @@ def folder(tmp_path_factory, corpus):
     frame = pd.DataFrame(pages, columns=["page_id", "url", "html"])
     frame["page_id"] = frame["page_id"].astype("Int64")
     save(frame.assign(**{c: "x" for c in CLASH if c not in ("url", "html")}), "pages")
+    vectors = [[0.1 * i, -0.2, 0.3 * i * i] for i in range(9)] + [None, [], [0.1, None, 0.2], [float("nan"), 0.0, 0.0], [0.0, -0.2, 0.0]]
+    save(pd.DataFrame({"vec_id": pd.array([*range(9), 20, 21, 22, None, 0], "Int64"), "embedding": vectors, **extra}), "embeddings")
     return str(path)
 
 
 @pytest.fixture(scope="module")
 def empty(tmp_path_factory, folder):
     path = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "benchmark", "labels", "pages"):
+    for name in ("documents", "benchmark", "labels", "pages", "embeddings"):
         pq.write_table(pq.read_table(f"{folder}/{name}.parquet").slice(0, 0), path / f"{name}.parquet")
     return str(path)
 
@@ -97,7 +100,7 @@ def test_empty_tables(spark, empty, name):
     assert queries.QUERIES[name](spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op7_quality_classifier", "op10_html_extraction"])
+@pytest.mark.parametrize("name", ["op7_quality_classifier", "op10_html_extraction", "op11_language_id", "op12_period_runs"])
 def test_every_row_has_a_result(spark, folder, name):
     table = "pages" if "html" in name else "documents"
     assert queries.QUERIES[name](spark, folder).count() == pq.read_table(f"{folder}/{table}.parquet").num_rows
@@ -276,11 +279,14 @@ def test_html_without_head_end(start):
 
 
 def test_trust_flows_along_links(spark):
+    """A circle of three: each score is its seed's part of a geometric series."""
     edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("c", "a", 1)], "src string, dst string, n long")
     seed = spark.createDataFrame([("trust", "a", 1.0), ("distrust", "c", 1.0)], "kind string, host string, seed double")
-    got = {(r["kind"], r["host"]): round(r["score"], 4) for r in url_filter.propagate(edges, seed, rounds=2, damping=0.5).collect()}
-    assert got == {("trust", "a"): 0.5, ("trust", "b"): 0.25, ("trust", "c"): 0.125,
-                   ("distrust", "c"): 0.5, ("distrust", "b"): 0.25, ("distrust", "a"): 0.125}
+    got = {(r["kind"], r["host"]): r["score"] for r in url_filter.converge(edges, seed, damping=0.5).collect()}
+    at = lambda hops: 0.5 * 0.5**hops / (1 - 0.5**3)
+    want = {("trust", "a"): at(0), ("trust", "b"): at(1), ("trust", "c"): at(2),
+            ("distrust", "c"): at(0), ("distrust", "b"): at(1), ("distrust", "a"): at(2)}
+    assert got == pytest.approx(want, abs=1e-8)
 
 
 def test_mixed_hosts_and_long_chains(spark):
@@ -291,7 +297,7 @@ def test_mixed_hosts_and_long_chains(spark):
     rows += [("http://mixed.com/bad/", "")] * 3 + [page("http://mixed.com/good/", "praised.net")]
     rows += [("http://praised.net/", ""), ("http://mixed.com/", "")]
     pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
-    got = {r["host"]: r for r in url_filter.judge_shared(pages, rules).collect() if r["rule"] is None}
+    got = {r["host"]: r for r in url_filter.judge(pages, rules).collect() if r["rule"] is None}
     assert (got["mixed.com"]["trust"], got["mixed.com"]["distrust"]) == (0.0375, 0.1125)
     assert got["mixed.com"]["verdict"] == "block" and got["praised.net"]["verdict"] == "allow"
     assert got["praised.net"]["trust"] == round(0.0375 * 0.85, 6)
@@ -304,3 +310,40 @@ def test_single_class_labels_give_their_share(spark):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     model = quality_classifier.train(docs, labels)
     assert {r[0] for r in docs.select(quality_classifier.scorer(model)("text")).collect()} == {0.75}
+
+
+def test_frequent_lines_are_taken_out(spark):
+    """The reduced texts against a count in plain Python; the verdict follows from them."""
+    from collections import Counter
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        host = rng.choice(["hot", "hot", "hot", "cold", None])
+        own = "\n".join(words(rng, rng.randrange(0, 30)) for _ in range(rng.randrange(3)))
+        shared = "\n".join(f"The  shared line {k} of {'A' if i % 2 else 'a'} site" for k in range(rng.randrange(9)) if rng.random() < 0.7)
+        rows.append((i, host, rng.choice([f"{own}\n{shared}", f"{shared}\n \n{own}", shared, own])))
+    rows += [(200, "hot", None), (201, "hot", ""), (202, None, "\n\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr(
+        "*", "'a' AS host", "'b' AS frequent", "'c' AS h", "'d' AS __n"
+    )
+    normal = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip().lower()
+    lines = lambda t: [x for x in (t or "").split("\n") if normal(x)]
+    held = Counter((s, h) for _, s, t in rows for h in {normal(x) for x in lines(t)})
+    size = Counter(s for _, s, _ in rows)
+    above = {k for k, n in held.items() if n > 5 and n > 0.1 * size[k[0]]}
+    want = {i: None if t is None else "\n".join(x for x in t.split("\n") if (s, normal(x)) not in above) for i, s, t in rows}
+    out = quality_rules.without_frequent_lines(docs)
+    assert out.columns == docs.columns
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+    assert sum(a != t for a, (_, _, t) in zip(want.values(), rows)) > 30
+    found = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    for i, _, t in rows:
+        assert found[i]["n_kept_words"] == count(want[i])
+        assert found[i]["kept"] == (not found[i]["base_failed"] and count(want[i]) >= 0.3 * count(t))
+    depleted = spark.createDataFrame([(i, "x", "site line of ten words " * 12 + f"\nown words {i}") for i in range(20)], "doc_id long, source string, text string")
+    assert all(not r["base_failed"] or not r["kept"] for r in quality_rules.judge(depleted).collect())
+    varied = " ".join(f"w{i}" for i in range(80))
+    depleted = depleted.selectExpr("doc_id", "source", f"'{varied}\n' || doc_id AS text")
+    assert all(not r["base_failed"] and not r["kept"] for r in quality_rules.judge(depleted).collect())

@@ -1,9 +1,10 @@
 """The stages of the corpus pipeline, each against a brute-force version on its own input."""
 
+import random
 import re
 
 import corpus_pipeline
-from crossrank.llm import quality_classifier
+from crossrank.llm import quality_classifier, shingle_join
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -78,7 +79,7 @@ def test_stages(spark, tmp_path):
     total = before["text"].map(lambda t: len(t.split())).sum()
     mixed = after["text"].map(lambda t: len(t.split())).sum()
     assert set(after["doc_id"]) <= set(before["doc_id"])
-    assert after.groupby("doc_id")["copy"].max().max() <= 4 and mixed <= 3 * total
+    assert after["copy"].max() <= 3 and mixed <= 3 * total
 
 
 def test_stages_keep_odd_rows(spark):
@@ -101,3 +102,36 @@ def test_training_skips_held_out_rows(spark):
     rows = quality_classifier.training_rows(docs, labels)
     held = docs.where(quality_classifier.held_out(docs["doc_id"])).select("doc_id").toPandas()["doc_id"]
     assert rows and not {r["doc_id"] for r in rows} & set(held)
+
+
+ADDED = "n_lines n_removed copy kept_id id row order text_key comp key n sig u v first score label label_id __row __copy h size".split()
+
+
+def test_stages_pass_clashing_columns_on(spark):
+    """Columns named like anything a stage adds or uses inside keep their values."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    line = "this line of the site stands on each and every page"
+    texts = [" ".join(word() for _ in range(40)) + (f"\n{line}" if i % 2 else "") for i in range(24)]
+    rows = [(i, t, f"s{i % 12}", *[f"{c}{i}" for c in ADDED]) for i, t in enumerate(texts + texts[:3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in ADDED))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, FOLDER).toPandas()
+        assert len(got) > 0 and set(got.columns) == set(docs.columns)
+        for c in ADDED:
+            if not (name == "source_mixing" and c == "copy"):
+                assert all(v == f"{c}{i}" for v, i in zip(got[c], got["doc_id"])), (name, c)
+
+
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    rng = random.Random(6)
+    a, b = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)) for _ in range(2))
+    docs = spark.createDataFrame([(3, a, "x"), (5, a, "y"), (5, b, "z"), (None, b, "w"), (None, None, "v")], "doc_id long, text string, source string")
+    got = {tuple(r) for r in shingle_join.keep_one(docs).collect()}
+    assert got == {(3, a, "x"), (5, b, "z"), (None, None, "v")}
+
+
+def test_training_rows_are_bounded_per_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 7} of this id") for i in range(5000)] + [(2, "another text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert len(quality_classifier.training_rows(docs, labels, max_rows=10)) == 2
