@@ -19,8 +19,7 @@ from crossrank.staging import stage
 
 AFTER = "1998-06-30"
 BLOCKS = {"period1": 2, "period2": 4}
-N_BOOT = 400
-N_DRAWS = 200
+N_BOOT = N_DRAWS = 10_000
 SEED = 2026
 
 

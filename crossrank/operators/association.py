@@ -14,6 +14,8 @@ from crossrank.staging import stage
 
 METHODS = ("spearman", "pearson")
 MIN_PAIRS = 4
+_TASK_ROWS = 2_000_000  # positions of draws one task unfolds
+_PIECE = 1 << 16
 
 
 def complete_pairs(pairs: DataFrame, by: list[str], x: str, y: str, id_col: str) -> DataFrame:
@@ -48,7 +50,7 @@ def correlation(
     """One row per group of ``complete_pairs``: estimate, interval and permutation p-value.
 
     Resamples and permutations are rows keyed by (group, draw, position) whose indices are
-    arithmetic on the key; ranks inside a draw are the distributed ones.
+    arithmetic on the key; the pairs themselves are ranked and numbered once.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
@@ -75,16 +77,53 @@ def correlation(
     return out.withColumn("method", F.lit(method))
 
 
+def _draws(numbered: DataFrame, by: list[str], n: int, draw: str) -> DataFrame:
+    """(by, n, draw, slot): every position of every draw, the draws dealt out before they unfold.
+
+    What follows is per draw, so it needs no further shuffle: a draw is as many rows as its group
+    has pairs, and a group's draws lie in all tasks.
+    """
+    groups = numbered.where("pos = 0").select(*by, "n")
+    rows = groups.agg(F.sum("n")).first()[0] or 0
+    tasks = max(numbered.sparkSession.sparkContext.defaultParallelism, rows * n // _TASK_ROWS + 1)
+    dealt = groups.selectExpr("*", f"explode(sequence(0, {n - 1})) AS {draw}").repartition(tasks, *by, draw)
+    pieces = dealt.selectExpr("*", f"explode(sequence(0L, (n - 1) div {_PIECE})) AS _piece")
+    return pieces.selectExpr(
+        *by, "n", draw, f"explode(sequence(_piece * {_PIECE}, least(n, (_piece + 1) * {_PIECE}) - 1)) AS slot"
+    )
+
+
 def _bootstrap(numbered, by, method, n_boot, level, seed) -> DataFrame:
-    draws = numbered.selectExpr(
-        *by, "pos AS _slot", "n", f"explode(sequence(0, {n_boot - 1})) AS boot"
-    ).selectExpr(*by, "boot", f"{uniform_int('boot', '_slot', seed)} % n AS pos")
-    sample = draws.join(numbered.select(*by, "pos", "x", "y"), [*by, "pos"])
-    group = [*by, "boot"]
-    drawn = sample.select(*group, "x", "y")
+    """Multiplicity tables: a draw only says how often each pair counts.
+
+    The order of the pairs by x and by y is fixed, so the ranks inside a draw are running sums of
+    multiplicities along it, and nothing is ranked anew.
+    """
+    draw = ", ".join([*by, "boot"])
+    times = (
+        _draws(numbered, by, n_boot, "boot")
+        .selectExpr(*by, "n", "boot", f"{uniform_int('boot', 'slot', seed)} % n AS pos")
+        .groupBy(*by, "n", "boot", "pos").agg(F.count(F.lit(1)).alias("m"))
+    )
+    drawn = times.join(numbered.drop("n"), [*by, "pos"])
     if method == "spearman":
-        drawn = _ranked(drawn, group)
-    boots = _coefficients(drawn, group, "r").where("r IS NOT NULL")
+        # Twice the mean position of a tie, less the mean of all: whole numbers, so sums are exact.
+        def centred(c: str) -> str:
+            upto = f"sum(m) OVER (PARTITION BY {draw} ORDER BY {c})"
+            return f"2 * {upto} - sum(m) OVER (PARTITION BY {draw}, {c}) - n"
+
+        drawn = drawn.selectExpr(*by, "n", "boot", "m", f"double({centred('sx')}) AS u", f"double({centred('sy')}) AS v")
+    else:
+        middle = numbered.groupBy(*by).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
+        drawn = drawn.join(middle, by).selectExpr(*by, "n", "boot", "m", "x - _mx AS u", "y - _my AS v")
+    sums = drawn.groupBy(*by, "n", "boot").agg(
+        *[F.expr(f"sum(m * {e}) AS {c}") for c, e in
+          {"su": "u", "sv": "v", "suu": "u * u", "svv": "v * v", "suv": "u * v"}.items()],
+        F.expr("max(u) > min(u) AND max(v) > min(v) AS varied"),
+    )
+    boots = sums.where("varied").selectExpr(
+        *by, "(n * suv - su * sv) / (sqrt(n * suu - su * su) * sqrt(n * svv - sv * sv)) AS r"
+    )
     alpha = (1 - level) / 2
     return boots.groupBy(*by).agg(  # n_boot values per group
         F.expr(f"percentile(r, {alpha}D) AS ci_low"), F.expr(f"percentile(r, {1 - alpha}D) AS ci_high")
@@ -92,21 +131,29 @@ def _bootstrap(numbered, by, method, n_boot, level, seed) -> DataFrame:
 
 
 def _permutation(numbered, estimate, by, n_perm, seed) -> DataFrame:
-    """Ranks do not change when y is permuted, so the ranked pairs are shuffled directly."""
-    order = f"{uniform_int('perm', 'pos', seed + 1)} * 2147483648 + pos"
-    moved = numbered.selectExpr(
-        *by, "pos", "sx", f"explode(sequence(0, {n_perm - 1})) AS perm"
-    ).withColumn("_o", F.expr(order))
-    group = [*by, "perm"]
-    place = ranked_values(moved, group, "_o").selectExpr(*group, "_o", "less AS _take")
-    shuffled = (
-        moved.join(place, [*group, "_o"])
-        .join(numbered.selectExpr(*by, "pos AS _take", "sy"), [*by, "_take"])
-        .selectExpr(*group, "sx AS x", "sy AS y")
-    )
-    perms = _coefficients(shuffled, group, "r").join(estimate.select(*by, "estimate"), by)
-    hits = "count_if(round(abs(r), 12) >= round(abs(estimate), 12))"
-    return perms.groupBy(*by).agg(F.expr(f"({hits} + 1) / ({n_perm} + 1D) AS p_perm"))
+    """Ranks, means and spreads do not change when y is permuted: only the sum of products does."""
+    draw = ", ".join([*by, "perm"])
+    order = f"{uniform_int('perm', 'slot', seed + 1)} * 2147483648 + slot"
+    moments = numbered.groupBy(*by).agg(
+        F.avg("sx").alias("_mx"), F.avg("sy").alias("_my"),
+        F.expr("sqrt(regr_sxx(sx, sx)) * sqrt(regr_sxx(sy, sy)) AS _spread"),
+    )
+    taken = _draws(numbered, by, n_perm, "perm").selectExpr(
+        *by, "perm", "slot AS pos", f"row_number() OVER (PARTITION BY {draw} ORDER BY {order}) - 1L AS _take"
+    )
+    centred = stage(numbered.join(moments, by).selectExpr(*by, "pos", "sx - _mx AS u", "sy - _my AS v"), "centred")
+    shuffled = taken.join(centred.select(*by, "pos", "u"), [*by, "pos"]).join(
+        centred.selectExpr(*by, "pos AS _take", "v"), [*by, "_take"]
+    )
+    perms = (
+        shuffled.groupBy(*by, "perm").agg(F.expr("sum(u * v) AS s"))
+        .join(moments.where("_spread > 0").select(*by, "_spread"), by)
+        .join(estimate.select(*by, "estimate"), by)
+    )
+    hits = "count_if(round(abs(s / _spread), 12) >= round(abs(estimate), 12))"
+    counted = perms.groupBy(*by).agg(F.expr(f"({hits} + 1) / ({n_perm} + 1D) AS p_perm"))
+    # A constant column has no correlation to reach.
+    return estimate.select(*by).join(counted, by, "left").selectExpr(*by, f"coalesce(p_perm, 1 / ({n_perm} + 1D)) AS p_perm")
 
 
 def fisher_table(flags: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
