@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # name -> (names it needs, body)
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -466,3 +468,26 @@ part(
     "wktargets",
     "naive",
 )
+
+
+def variant(suffix: str, replaced: dict[str, tuple[str, str]], targets: str, fixed: str = "") -> None:
+    """Copies of the fragments ``targets`` rest on; ``replaced`` ones (body, names it needs) read
+    their originals, ``fixed`` ones stay."""
+    changed: dict[str, bool] = {n: True for n in replaced} | {n: False for n in fixed.split()}
+
+    def differs(name: str) -> bool:
+        if name not in changed:
+            changed[name] = any([differs(n) for n in PARTS[name][0]])
+        return changed[name]
+
+    for name in targets.split():
+        differs(name)
+    names = [n for n, new in changed.items() if new]
+    for name in names:
+        needs, body = PARTS[name]
+        if name in replaced:
+            part(f"{name}{suffix}", replaced[name][0], name, *replaced[name][1].split())
+            continue
+        for other in names:
+            body = re.sub(rf"\b{other}\b", f"{other}{suffix}", body)
+        part(f"{name}{suffix}", body, *(f"{n}{suffix}" if n in names else n for n in needs))
