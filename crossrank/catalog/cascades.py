@@ -409,15 +409,52 @@ def cascade_search(spark, folder):
     return rounded(table, rps=9)
 
 
+_BOOSTED: dict = {}
+
+
+def _boosted(p):
+    """Forecasts and search log of all origins, fitted once per panel."""
+    if p not in _BOOSTED:
+        samples, windows = _samples(p)
+        rows = stage(sm.origin_rows(_base_features(p, windows), p.origins, p.members), "boosted_rows")
+        probs, log = bo.forecast(samples, windows, rows)
+        _BOOSTED[p] = stage(probs, "boosted_forecast"), log
+    return _BOOSTED[p]
+
+
 @query()
 def boosted_forecast(spark, folder):
-    """Quintile classifier fitted on every past window of the last origin (three rounds)."""
-    p = panels(spark, folder)
-    samples, windows = _samples(p)
-    last = p.origins.agg(F.max("k")).first()[0]
-    rows = sm.origin_rows(_base_features(p, windows), p.origins, p.members).where(F.col("k") == last)
-    config = {"num_leaves": 7, "min_data_in_leaf": 100}
-    probs, _ = bo.forecast(
-        samples, windows.where(F.col("k") == last), rows, config=config, rounds=3
+    """Boosted quintile forecasts of every origin, each with the configuration it chose by itself."""
+    return rounded(_boosted(panels(spark, folder))[0], **_R9)
+
+
+@query()
+def boosted_search(spark, folder):
+    """Every configuration tried at every origin: up to 1,000 rounds, ended after 50 without a gain."""
+    log = _boosted(panels(spark, folder))[1]
+    return rounded(log.drop("origin"), val_rps=9)
+
+
+@query(
+    with_parts(
+        "members win",
+        "SELECT m.k, m.n AS assets, m.n * 1.0::DOUBLE AS total, COALESCE(w.n, 0) - 13 < 24 AS fallback, "
+        "CASE WHEN COALESCE(w.n, 0) - 13 < 24 THEN m.n ELSE 0 END AS flat, CASE WHEN COALESCE(w.n, 0) - 13 < 24 THEN 0 ELSE 4 END::BIGINT AS tries, "
+        "CASE WHEN COALESCE(w.n, 0) - 13 < 24 THEN 0 ELSE 1 END::BIGINT AS chosen FROM (SELECT k, COUNT(*) AS n FROM members GROUP BY 1) m "
+        "LEFT JOIN (SELECT k, COUNT(*) AS n FROM win GROUP BY 1) w USING (k)",
+    )
+)
+def boosted_checks(spark, folder):
+    """What is certain of the boosted forecasts: rows, sums, uniform rows of the fallback, tries and choices."""
+    probs, log = _boosted(panels(spark, folder))
+    per = probs.groupBy("k").agg(
+        F.count(F.lit(1)).alias("assets"), F.round(F.sum(F.expr(" + ".join(RANKS))), 6).alias("total"),
+        F.count_if(F.expr(" AND ".join(f"{c} = 0.2D" for c in RANKS))).alias("same"),
+        F.count_if(F.expr(" OR ".join(f"{c} < 0" for c in RANKS))).alias("negative"),
+    )
+    tried = log.groupBy("k").agg(
+        F.first("fallback").alias("fallback"), F.count("config").alias("tries"), F.count_if("chosen").alias("chosen")
+    )
+    return per.join(tried, "k").selectExpr(
+        "k", "assets + negative AS assets", "total", "fallback", "CASE WHEN fallback THEN same ELSE 0 END AS flat", "tries", "chosen"
     )
-    return probs

@@ -1,29 +1,42 @@
-"""Quintile probabilities from Spark ML boosting: four cumulative binary classifiers.
-
-The ranked score is a sum over the cumulative probabilities P(quintile <= 1..4), so each is
-fitted by its own ``GBTClassifier``; differences of the repaired cumulatives give the five
-probabilities.  Fits run one after another from the driver, each distributed over its rows.
+"""Quintile probabilities by componentwise boosting on sufficient statistics.
+
+A base learner is a tree on one feature: ``num_leaves`` bins (and one for missing values), each
+leaf the mean residual of its rows; leaves of fewer than ``min_data_in_leaf`` rows stay at zero.  A
+round adds ``step_size`` times the learner that lowers the squared error most, for all five shares
+at once, so forecasts sum to one.
+
+Residuals of binned rows depend on the data only through how often two leaves occur together and
+through the target sums of each leaf.  Spark counts both once per window, in one pass over the
+samples; the counts of an origin are sums over its windows.  Fitting then needs no rows: every
+round of every origin is arithmetic on tables of leaves, as are the ranked scores of the
+validation windows after each round, being quadratic in the forecasts.  So all origins are fitted
+for a thousand rounds in one job.  The tasks hold one configuration each: windows x leaves squared
+numbers, whatever the number of assets.
 """
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossrank.functions.scores import TARGETS
 from crossrank.operators import samples as sm
 from crossrank.operators.features import FEATURES
-from crossrank.operators.targets import rps_per_asset, window_mean_rps
 from crossrank.schema import RANKS
 from crossrank.staging import stage
 
-# Leaves of the original grid and the tree depth with about as many.
-DEPTH_OF_LEAVES = {7: 3, 31: 5}
+# Workers need no copy of this package: tasks carry these functions with them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# The largest number of rounds and the rounds without a gain that end a search.
+MAX_ROUNDS, PATIENCE = 1000, 50
+WINDOW = ["base_date", "end_date"]
 
 
 @dataclass(frozen=True)
@@ -32,142 +45,196 @@ class Boosting:
     n_val: int = 12
     embargo: int = 1
     min_train_windows: int = 24
-    max_rounds: int = 50
-    step_size: float = 0.1
-    seed: int = 2026
+    max_rounds: int = MAX_ROUNDS
+    patience: int = PATIENCE
+    step_size: float = 0.05
     name: str = "gbm"
 
+    def configs(self) -> list[dict]:
+        return sm.grid_configs(self.grid)
 
-def assemble(rows: DataFrame) -> DataFrame:
-    """Feature vector: NULL ranks become 0.5 and are counted in an extra component."""
-    missing = " + ".join(f"int({c} IS NULL)" for c in FEATURES)
-    filled = rows.selectExpr(
-        *[c for c in rows.columns if c not in FEATURES],
-        *[f"coalesce({c}, 0.5D) AS {c}" for c in FEATURES],
-        f"double({missing}) AS n_missing",
-    )
-    return VectorAssembler(inputCols=[*FEATURES, "n_missing"], outputCol="features").transform(
-        filled
-    ).drop(*FEATURES, "n_missing")
+    def leaves(self) -> list[int]:
+        return sorted(set(self.grid["num_leaves"]))
 
 
-def _classifier(config: dict, rounds: int, step_size: float, seed: int, validate: bool):
-    gbt = GBTClassifier(
-        featuresCol="features", labelCol="hit", weightCol="weight", maxIter=rounds,
-        maxDepth=DEPTH_OF_LEAVES.get(config["num_leaves"], 4), stepSize=step_size,
-        minInstancesPerNode=config["min_data_in_leaf"], subsamplingRate=0.8,
-        featureSubsetStrategy="0.8", seed=seed,
+def leaf_columns(rows: DataFrame, keep: list[str], leaves: list[int]) -> DataFrame:
+    """``keep``, num_leaves and the leaf of every feature in ``cells`` (numbered over all features)."""
+    def cell(i: int, f: str, n: int) -> str:
+        own = f"CASE WHEN {f} IS NULL THEN {n} ELSE int(greatest(0, least({n - 1}, floor({f} * {n})))) END"
+        return f"{i * (n + 1)} + {own}"
+
+    sets = ", ".join(
+        f"named_struct('num_leaves', {n}, 'cells', array({', '.join(cell(i, f, n) for i, f in enumerate(FEATURES))}))"
+        for n in leaves
     )
-    return gbt.setValidationIndicatorCol("is_val") if validate else gbt
+    return rows.selectExpr(*keep, f"inline(array({sets}))")
 
 
-def fit(
-    samples: DataFrame, config: dict, rounds: int, step_size: float = 0.1, seed: int = 2026,
-    validation: str | None = None,
-) -> list:
-    """Four models P(quintile <= 1..4) from samples with features and target shares.
+def statistics(samples: DataFrame, leaves: list[int]) -> DataFrame:
+    """(window, num_leaves, a, b, v): what fitting needs of the samples, counted once per window.
 
-    ``validation`` names a boolean column; then each model stops when those rows no longer
-    improve.
+    ``b`` >= 0: rows in leaf a and leaf b (a <= b).  ``b`` = -1..-5: target sums of leaf a.  With a = -1,
+    ``b`` = -1 holds the rows of the window and -2 the sum of their squared centred running targets.
     """
-    rows = samples.withColumn("is_val", F.col(validation)) if validation else samples
-    labelled = stage(
-        assemble(sm.expand_targets(rows)).select(
-            "features", "label", "weight", *(["is_val"] if validation else [])
-        ),
-        "train",
+    key = [*WINDOW, "num_leaves"]
+    coded = leaf_columns(samples, [*WINDOW, *TARGETS], leaves)
+    last = len(FEATURES) - 1
+    pairs = (
+        f"inline(flatten(transform(sequence(0, {last}), i -> transform(sequence(i, {last}), "
+        "j -> named_struct('a', cells[i], 'b', cells[j])))))"
+    )
+    together = coded.selectExpr(*key, pairs).groupBy(*key, "a", "b").agg(F.count(F.lit(1)).cast("double").alias("v"))
+    sums = (
+        coded.selectExpr(*key, *TARGETS, "explode(cells) AS a").groupBy(*key, "a")
+        .agg(*[F.sum(t).alias(t) for t in TARGETS])
+        .selectExpr(*key, "a", f"stack(5, {', '.join(f'-{q}, {t}' for q, t in enumerate(TARGETS, 1))}) AS (b, v)")
     )
-    models = []
-    for q in range(4):
-        hits = labelled.withColumn("hit", F.expr(f"double(label <= {q})"))
-        models.append(
-            _classifier(config, rounds, step_size, seed + q, validation is not None).fit(hits)
-        )
-    return models
-
-
-def predict(models: list, rows: DataFrame) -> DataFrame:
-    """Rank1..Rank5 for rows with features: cumulatives made non-decreasing, then normalised."""
-    kept = [c for c in rows.columns if c not in FEATURES]
-    out = assemble(rows)
-    for q, model in enumerate(models):
-        out = (
-            model.setPredictionCol("_p").setRawPredictionCol("_raw").setProbabilityCol("_prob")
-            .transform(out)
-            .withColumn(f"_c{q}", vector_to_array("_prob")[1])
-            .drop("_p", "_raw", "_prob")
-        )
-    rising = [f"greatest({', '.join(f'_c{j}' for j in range(q + 1))})" if q else "_c0" for q in range(4)]
-    edges = ["0D", *rising, "1D"]
-    return out.selectExpr(*kept, *[f"({edges[q + 1]}) - ({edges[q]}) AS {c}" for q, c in enumerate(RANKS)])
-
-
-def select(
-    samples: DataFrame, model: Boosting, parts: DataFrame
-) -> tuple[dict, int, list[dict]]:
-    """Every grid configuration tried on the validation windows; the lowest mean RPS wins.
-
-    ``parts`` has (base_date, end_date, part).  Returns the configuration, its rounds and the
-    log with one entry per try.
+    running = " + ".join(f"pow({' + '.join(TARGETS[: q + 1])} - {0.2 * (q + 1)}D, 2)" for q in range(5))
+    whole = (
+        coded.groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.expr(running)).alias("s"))
+        .selectExpr(*key, "-1 AS a", "stack(2, -1, n, -2, s) AS (b, v)")
+    )
+    return together.unionByName(sums).unionByName(whole)
+
+
+class Tables:
+    """Dense statistics of one number of leaves, added up window by window."""
+
+    def __init__(self, frame: pd.DataFrame, n_leaves: int):
+        self.size = len(FEATURES) * (n_leaves + 1)
+        self.groups = np.arange(self.size).reshape(len(FEATURES), n_leaves + 1)
+        self.frames = {w: f for w, f in frame.groupby(WINDOW)}
+
+    def add(self, windows: list, even: bool) -> tuple[np.ndarray, np.ndarray, float]:
+        """Joint counts, centred target sums and squared running targets over ``windows``;
+        ``even`` weighs every window alike."""
+        gram, sums, square = np.zeros((self.size, self.size)), np.zeros((self.size, 5)), 0.0
+        for w in windows:
+            if w not in self.frames:
+                continue
+            f = self.frames[w]
+            a, b, v = f["a"].to_numpy(), f["b"].to_numpy(), f["v"].to_numpy()
+            rows = v[(a == -1) & (b == -1)][0]
+            scale = 1.0 / rows / len(windows) if even else 1.0
+            pair, target = (a >= 0) & (b >= 0), (a >= 0) & (b < 0)
+            np.add.at(gram, (a[pair], b[pair]), v[pair] * scale)
+            np.add.at(sums, (a[target], -b[target] - 1), v[target] * scale)
+            square += v[(a == -1) & (b == -2)][0] * scale
+        gram = gram + np.triu(gram, 1).T
+        return gram, sums - 0.2 * np.diag(gram)[:, None], square
+
+
+def boost(gram: np.ndarray, sums: np.ndarray, groups: np.ndarray, rounds: int, min_data: float, step: float):
+    """Yield (cells, change) of every round: the leaves of the chosen feature and what they add."""
+    counts = np.diag(gram)
+    usable = counts >= max(min_data, 1)
+    weight = np.where(usable, 1.0 / np.maximum(counts, 1.0), 0.0)
+    left = sums.copy()  # sums of residuals by leaf
+    for _ in range(rounds):
+        mean = left * weight[:, None]
+        gain = (left * mean).sum(1)[groups].sum(1)
+        cells = groups[int(np.argmax(gain.round(12)))]
+        change = step * mean[cells]
+        if not change.any():
+            return
+        left -= gram[:, cells] @ change
+        yield cells, change
+
+
+def searched(train, val, groups, rounds: int, patience: int, min_data: float, step: float) -> tuple[int, float, int]:
+    """(best rounds, its RPS on the validation windows, round the search ended at)."""
+    gram, sums, square = val
+    cumulate = np.triu(np.ones((5, 5)))
+    target, applied = sums @ cumulate, np.zeros_like(sums)
+    score, best, at, r = square, np.inf, 0, 0
+    for r, (cells, change) in enumerate(boost(train[0], train[1], groups, rounds, min_data, step), 1):
+        change = change @ cumulate
+        score += 2 * (change * (applied[cells] - target[cells])).sum()
+        moved = gram[:, cells] @ change
+        score += (change * moved[cells]).sum()
+        applied += moved
+        if round(score / 5, 12) < best:
+            best, at = round(score / 5, 12), r
+        elif r - at >= patience:
+            break
+    return (at, best, r) if at else (0, round(square / 5, 12), r)
+
+
+OUTPUT = "k int, config int, rounds int, stopped_at int, val_rps double, cell int, " + ", ".join(f"b{q} double" for q in range(1, 6))
+
+
+def fitted(samples: DataFrame, parts: DataFrame, model: Boosting) -> DataFrame:
+    """(k, config, rounds, stopped_at, val_rps, cell, b1..b5): every configuration of every origin with
+    enough windows, searched on its validation windows and fitted on all of them.
+
+    ``parts`` holds (k, base_date, end_date, part).
     """
-    used = samples.join(F.broadcast(parts.select("base_date", "end_date", "part")),
-                        ["base_date", "end_date"]).where("part != 'gap'")
-    used = stage(used.withColumn("val", F.expr("part = 'val'")), "search")
-    val = used.where("val")
-    log = []
-    for i, config in enumerate(sm.grid_configs(model.grid)):
-        fitted = fit(used, config, model.max_rounds, model.step_size, model.seed, "val")
-        probs = predict(fitted, val.drop("part", "val", *TARGETS))
-        scored = rps_per_asset(probs, val, ["base_date", "end_date", "symbol"])
-        score = window_mean_rps(scored.withColumn("_one", F.lit(1)), ["base_date"], ["_one"]).first()
-        rounds = max(max(m.getNumTrees for m in fitted), 1)
-        log.append({"config": i, **config, "rounds": rounds, "val_rps": score["rps"], "chosen": False})
-    best = min(log, key=lambda e: e["val_rps"])
-    best["chosen"] = True
-    return {k: best[k] for k in model.grid}, best["rounds"], log
+    uses: dict[int, dict[str, list]] = {}
+    for r in parts.select("k", *WINDOW, "part").orderBy("k", "base_date").collect():  # calendar-sized
+        uses.setdefault(r["k"], {"train": [], "gap": [], "val": []})[r["part"]].append((r["base_date"], r["end_date"]))
+    uses = {k: u for k, u in uses.items() if len(u["train"]) >= model.min_train_windows}
+    configs = [(i, c["num_leaves"], c["min_data_in_leaf"]) for i, c in enumerate(model.configs())]
+    table = samples.sparkSession.createDataFrame(configs, "config int, leaves int, min_data int")
+    stats = stage(statistics(samples, model.leaves()), "leaf_statistics")
+    rows = stats.join(F.broadcast(table), F.col("num_leaves") == F.col("leaves")).drop("leaves")
+    limit, patience, step = model.max_rounds, model.patience, model.step_size
+
+    def fit(key, frame):
+        config, min_data, n_leaves = int(key[0]), int(frame["min_data"].iloc[0]), int(frame["num_leaves"].iloc[0])
+        tables, out = Tables(frame, n_leaves), []
+        for k, u in sorted(uses.items()):
+            train, val = tables.add(u["train"], False), tables.add(u["val"], True)
+            rounds, rps, ended = searched(train, val, tables.groups, limit, patience, min_data, step)
+            whole = tables.add(u["train"] + u["gap"] + u["val"], False)
+            beta = np.zeros((tables.size, 5))
+            for cells, change in boost(whole[0], whole[1], tables.groups, rounds, min_data, step):
+                beta[cells] += change
+            out.append(pd.DataFrame({
+                "k": k, "config": config, "rounds": rounds, "stopped_at": ended, "val_rps": rps, "cell": range(tables.size),
+                **{f"b{q + 1}": beta[:, q] for q in range(5)},
+            }))
+        names = [c.split()[0] for c in OUTPUT.split(", ")]
+        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
+
+    return rows.groupBy("config").applyInPandas(fit, OUTPUT)
 
 
 def forecast(
-    samples: DataFrame, windows: DataFrame, origin_rows: DataFrame, model: Boosting | None = None,
-    config: dict | None = None, rounds: int | None = None,
+    samples: DataFrame, windows: DataFrame, origin_rows: DataFrame, model: Boosting | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Forecasts (model, k, symbol, Rank1..5) of every origin in ``windows`` and the search log.
 
-    ``samples`` are clean window samples, ``windows`` the past windows per (k, origin).  An
-    origin with too few training windows gets the uniform forecast.  Passing ``config`` and
-    ``rounds`` skips the search.
+    ``samples`` are clean window samples, ``windows`` the past windows per (k, origin).  An origin
+    with too few training windows gets the uniform forecast.  Negative shares become 0 before
+    a row is normalised.
     """
     model = model or Boosting()
-    spark = samples.sparkSession
-    parts = stage(sm.split_windows(windows, model.n_val, model.embargo), "parts")
-    counts = {
-        r["k"]: r for r in parts.groupBy("k").agg(
-            F.count_if(F.col("part") == "train").alias("train"), F.count(F.lit(1)).alias("all"),
-            F.first("origin").alias("origin"),
-        ).collect()  # one row per period
-    }
-    out, log = [], []
-    fallback = [k for k, r in counts.items() if r["train"] < model.min_train_windows]
-    if fallback:
-        flat = origin_rows.where(F.col("k").isin(fallback)).select(
-            "k", "symbol", *[F.lit(0.2).alias(c) for c in RANKS]
-        )
-        out.append(flat)
-        log += [{"k": k, "origin": counts[k]["origin"], "fallback": True, "n_windows": counts[k]["all"]} for k in fallback]
-    for k in sorted(set(counts) - set(fallback)):
-        own = parts.where(F.col("k") == k)
-        mine = samples.join(F.broadcast(own.select("base_date", "end_date")), ["base_date", "end_date"])
-        chosen, n = config, rounds
-        if chosen is None:
-            chosen, n, tries = select(mine, model, own)
-            log += [{"k": k, "origin": counts[k]["origin"], "fallback": False, "n_windows": counts[k]["all"], **t} for t in tries]
-        fitted = fit(mine, chosen, n or model.max_rounds, model.step_size, model.seed)
-        probs = predict(fitted, origin_rows.where(F.col("k") == k))
-        out.append(stage(probs.select("k", "symbol", *RANKS), "boosted"))
-    table = out[0]
-    for part in out[1:]:
-        table = table.unionByName(part)
-    names = "k INT, origin DATE, fallback BOOLEAN, n_windows BIGINT, config INT, num_leaves INT, min_data_in_leaf INT, rounds INT, val_rps DOUBLE, chosen BOOLEAN"
-    fields = [part.split()[0] for part in names.split(", ")]
-    search = spark.createDataFrame([tuple(e.get(f) for f in fields) for e in log], names)
-    return table.select(F.lit(model.name).alias("model"), "k", "symbol", *RANKS), search
+    parts = stage(sm.split_windows(windows.select("k", "origin", *WINDOW), model.n_val, model.embargo), "parts")
+    models = stage(fitted(samples, parts, model), "boosted")
+    tries = models.where("cell = 0").select("k", "config", "rounds", "stopped_at", "val_rps")
+    best = tries.groupBy("k").agg(F.min(F.struct("val_rps", "config"))["config"].alias("_best"))
+    configs = samples.sparkSession.createDataFrame(
+        [(i, c["num_leaves"], c["min_data_in_leaf"]) for i, c in enumerate(model.configs())],
+        "config int, num_leaves int, min_data_in_leaf int",
+    )
+    marked = tries.join(best, "k").join(F.broadcast(configs), "config").selectExpr(
+        "k", "config", "num_leaves", "min_data_in_leaf", "rounds", "stopped_at", "val_rps", "config = _best AS chosen"
+    )
+    counts = parts.groupBy("k", "origin").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.count_if(F.col("part") == "train").alias("_train")
+    ).selectExpr("k", "origin", "n_windows", f"_train < {model.min_train_windows} AS fallback")
+    log = stage(counts.join(marked, "k", "left"), "boosted_search")
+    chosen = models.join(best.withColumnRenamed("_best", "config"), ["k", "config"]).join(
+        F.broadcast(configs.select("config", "num_leaves")), "config"
+    ).select("k", "num_leaves", "cell", *[f"b{q}" for q in range(1, 6)])
+    cells = leaf_columns(origin_rows, ["k", "symbol"], model.leaves()).selectExpr("k", "symbol", "num_leaves", "explode(cells) AS cell")
+    shares = cells.join(stage(chosen, "boosted_leaves"), ["k", "num_leaves", "cell"]).groupBy("k", "symbol").agg(
+        *[F.greatest(F.lit(0.0), F.round(F.sum(f"b{q}") + 0.2, 12)).alias(f"p{q}") for q in range(1, 6)]
+    )
+    total = " + ".join(f"p{q}" for q in range(1, 6))
+    own = shares.selectExpr("k", "symbol", *[f"p{q} / ({total}) AS {c}" for q, c in enumerate(RANKS, 1)])
+    asked = origin_rows.join(F.broadcast(counts.select("k")), "k", "left_semi").select("k", "symbol")
+    out = asked.join(own, ["k", "symbol"], "left").selectExpr(
+        f"'{model.name}' AS model", "k", "symbol", *[f"coalesce({c}, 0.2D) AS {c}" for c in RANKS]
+    )
+    return out, log
