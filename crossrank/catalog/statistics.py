@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from crossrank.catalog import query
 from crossrank.catalog.evaluation import rounded
-from crossrank.catalog.fragments import PARTS, average_rank_sql, part, rps_sql, with_parts
+from crossrank.catalog.fragments import PARTS, average_rank_sql, daily_sql, part, rps_sql, with_parts
 from crossrank.functions.draws import uniform_int
 from crossrank.operators import association as asc
 from crossrank.operators import leaderboard as lb
@@ -469,4 +469,29 @@ def headline_significance(spark, folder):
     )
 
 
+_SCORE = " + ".join(f"{q} * Rank{q}" for q in range(1, 6))
+part(
+    "fc_weightings",
+    "SELECT model || '|equal' AS model, k, symbol, 1.0::DOUBLE / COUNT(*) OVER (PARTITION BY model, k) AS weight FROM fc UNION ALL "
+    "SELECT model || '|expected_rank', k, symbol, CASE WHEN SUM(ABS(s)) OVER (PARTITION BY model, k) = 0 THEN 1.0::DOUBLE / COUNT(*) OVER (PARTITION BY model, k) "
+    f"ELSE s / SUM(ABS(s)) OVER (PARTITION BY model, k) END FROM (SELECT *, ROUND({_SCORE} - 3, 12) AS s FROM fc)",
+    "fc",
+)
+part("daily_weightings", daily_sql("fc_weightings"), "fc_weightings", "dayk", "spell")
+
+
+@query(
+    with_parts(
+        "daily_weightings cal",
+        "SELECT split_part(model, '|', 1) AS model, phase, ROUND(SUM(ret) FILTER (model LIKE '%|equal') / STDDEV_SAMP(ret) FILTER (model LIKE '%|equal'), 6) AS ir_equal, "
+        "ROUND(SUM(ret) FILTER (model LIKE '%rank') / STDDEV_SAMP(ret) FILTER (model LIKE '%rank'), 6) AS ir_expected_rank "
+        "FROM daily_weightings JOIN cal USING (k) GROUP BY 1, 2",
+    )
+)
+def headline_weightings(spark, folder):
+    """Pooled IR of every model's stored probabilities under both weightings, per phase."""
+    p = panels(spark, folder)
+    return rounded(mc.weighting_table(p.forecasts, p.prices, p.calendar, p.days), ir_equal=6, ir_expected_rank=6)
+
+
 assert "tests_diffs" in PARTS

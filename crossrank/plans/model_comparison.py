@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossrank.operators import association as asc
+from crossrank.operators import portfolio as pf
 from crossrank.operators import significance as sg
+from crossrank.operators.universe import with_weights
 from crossrank.staging import stage
 
 
@@ -72,3 +74,15 @@ def team_headline(checks: DataFrame, summary: DataFrame) -> DataFrame:
         F.sum("rows").alias("rows"), F.expr(f"sum({ranks}) AS rank_mismatches"), F.lit(1).alias("_one")
     )
     return left.join(F.broadcast(summary.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
+def weighting_table(forecasts: DataFrame, prices: DataFrame, periods: DataFrame, days: DataFrame) -> DataFrame:
+    """Per model and phase the pooled IR of its probabilities, weighted equally and by expected rank."""
+    replayed = [
+        with_weights(forecasts, ["model", "k"], w).withColumn("weighting", F.lit(w)) for w in ("equal", "expected_rank")
+    ]
+    table = stage(replayed[0].unionByName(replayed[1]), "weightings")
+    daily = pf.daily_log_returns(table, prices, periods, days, ["model", "weighting"])
+    phases = F.broadcast(periods.select("k", "phase"))  # one row per period
+    ratio = {w: pf.ratio_sql(f"(CASE WHEN weighting = '{w}' THEN ret END)") for w in ("equal", "expected_rank")}
+    return daily.join(phases, "k").groupBy("model", "phase").agg(*[F.expr(f"{sql} AS ir_{w}") for w, sql in ratio.items()])
