@@ -297,39 +297,47 @@ def quintile_frequencies(spark, folder):
     return rounded(tg.quintile_frequencies(p.returns, "k", bounded=True), **dict.fromkeys(RANKS, 9))
 
 
-_LAST = "(SELECT MAX(base_date) FROM cal)"
+# Half-lives of the search, in trading days.
+HALFLIVES = (21, 63, 126, 252)
 
 
 def _cov_sql(select: str) -> str:
+    """Every origin and half-life; pairs of the symbols divisible by 20, and the diagonal."""
+    lives = ", ".join(f"({h})" for h in HALFLIVES)
     return with_parts(
-        "fill cal",
-        f"""SELECT * FROM (WITH w AS MATERIALIZED (SELECT symbol, idx, r, POWER(0.5, (mx - idx) / 21.0) AS w FROM (
-          SELECT *, MAX(idx) OVER () AS mx FROM (SELECT symbol, idx, date, LN(price) - lag(LN(price)) OVER (PARTITION BY symbol ORDER BY idx) AS r FROM fill)
-          WHERE date <= {_LAST}) WHERE r IS NOT NULL AND idx > mx - 105),
-        cov AS MATERIALIZED (SELECT a.symbol AS i, b.symbol AS j, SUM(a.w * a.r * b.r) / SUM(a.w) AS cov FROM w a JOIN w b USING (idx) GROUP BY 1, 2)
+        "fill cal syms",
+        f"""SELECT * FROM (WITH moves AS MATERIALIZED (SELECT symbol, sk, idx, LN(price) - lag(LN(price)) OVER (PARTITION BY symbol ORDER BY idx) AS r FROM fill JOIN syms USING (symbol)),
+        ends AS (SELECT k, h, idx AS last FROM cal JOIN days ON day = base_date, (VALUES {lives}) v(h)),
+        w AS MATERIALIZED (SELECT k, h, symbol, sk, idx, r, POWER(0.5, (last - idx) / CAST(h AS DOUBLE)) AS w
+          FROM moves JOIN ends ON idx <= last AND idx > last - 5 * h WHERE r IS NOT NULL),
+        var AS MATERIALIZED (SELECT k, h, symbol, SUM(w * r * r) / SUM(w) AS v FROM w GROUP BY 1, 2, 3),
+        cov AS MATERIALIZED (SELECT a.k, a.h, a.symbol AS i, b.symbol AS j, SUM(a.w * a.r * b.r) / SUM(a.w) AS cov
+          FROM w a JOIN w b USING (k, h, idx) WHERE a.sk % 20 = 0 GROUP BY ALL
+          UNION ALL SELECT k, h, symbol, symbol, v FROM var JOIN syms USING (symbol) WHERE sk % 20 <> 0)
         {select})""",
     )
 
 
 def _cov(spark, folder):
     p = panels(spark, folder)
-    origin = p.origins.agg(F.max("origin")).first()[0]
-    return cv.ewma_covariance(p.prices, p.days, str(origin), 21)
+    asked = "bigint(regexp_extract(symbol, '[0-9]+', 0)) % 20 = 0"
+    return cv.ewma_covariances(p.prices, p.days, p.origins, list(HALFLIVES), asked=asked)
 
 
-@query(_cov_sql("SELECT i, j, ROUND(cov, 12) AS cov FROM cov"))
+@query(_cov_sql("SELECT k, h::DOUBLE AS halflife, i, j, ROUND(cov, 12) AS cov FROM cov"))
 def ewma_covariance(spark, folder):
-    return rounded(_cov(spark, folder), cov=12)
+    """At every origin and half-life: the query set against all symbols, and the diagonal."""
+    return rounded(_cov(spark, folder).drop("var_i", "var_j"), cov=12)
 
 
 @query(
     _cov_sql(
-        "SELECT c.i, c.j, ROUND(CASE WHEN c.i = c.j THEN 1.0 WHEN a.cov * b.cov = 0 THEN 0 ELSE c.cov / SQRT(a.cov * b.cov) END, 9) AS corr "
-        "FROM cov c JOIN cov a ON a.i = c.i AND a.j = c.i JOIN cov b ON b.i = c.j AND b.j = c.j"
+        "SELECT c.k, c.h::DOUBLE AS halflife, c.i, c.j, ROUND(CASE WHEN c.i = c.j THEN 1.0 WHEN a.v * b.v = 0 THEN 0 ELSE c.cov / (SQRT(a.v) * SQRT(b.v)) END, 9) AS corr "
+        "FROM cov c JOIN var a ON a.k = c.k AND a.h = c.h AND a.symbol = c.i JOIN var b ON b.k = c.k AND b.h = c.h AND b.symbol = c.j"
     )
 )
 def correlation_matrix(spark, folder):
-    return rounded(cv.correlation_matrix(stage(_cov(spark, folder), "cov")), corr=9)
+    return rounded(cv.correlation_matrix(_cov(spark, folder)), corr=9)
 
 
 @query(
