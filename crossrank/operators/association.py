@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crossrank.functions.draws import hash_order, uniform_int
 from crossrank.functions.scores import TARGETS, rps_expr
 from crossrank.functions.special import fisher_p
-from crossrank.operators.ordering import ranked_values, with_rank
+from crossrank.operators.ordering import place, with_rank
 from crossrank.schema import RANKS
 from crossrank.staging import stage
 
@@ -39,8 +39,8 @@ def _coefficients(pairs: DataFrame, by: list[str], out: str) -> DataFrame:
 
 
 def _ranked(pairs: DataFrame, by: list[str]) -> DataFrame:
-    ranked = with_rank(with_rank(pairs, by, "x", average="_rx"), by, "y", average="_ry")
-    return ranked.selectExpr(*[c for c in pairs.columns if c not in ("x", "y")], "_rx AS x", "_ry AS y")
+    """The pairs with their average ranks ``sx`` and ``sy``."""
+    return stage(with_rank(with_rank(pairs, by, "x", average="sx"), by, "y", average="sy"), "ranked")
 
 
 def correlation(
@@ -55,8 +55,8 @@ def correlation(
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     base = pairs.select(*by, "id", "x", "y")
-    scored = _ranked(base, by) if method == "spearman" else base
-    estimate = _coefficients(scored, by, "estimate").selectExpr(
+    scored = _ranked(base, by) if method == "spearman" else base.selectExpr("*", "x AS sx", "y AS sy")
+    estimate = _coefficients(scored.selectExpr(*by, "sx AS x", "sy AS y"), by, "estimate").selectExpr(
         *by,
         f"CASE WHEN n < {MIN_PAIRS} THEN bigint(raise_error('need at least 4 complete pairs')) ELSE n END AS n",
         "estimate",
@@ -64,11 +64,9 @@ def correlation(
     out = estimate
     if n_boot or n_perm:
         # Positions 0..n-1 in a fixed arbitrary order of the ids.
-        keyed = base.withColumn("_h", F.expr(hash_order("id")))
-        places = ranked_values(keyed, by, "_h").selectExpr(*by, "_h", "less AS pos", "n")
-        scores = scored.selectExpr(*by, "id", "x AS sx", "y AS sy")
+        keyed = scored.withColumn("_h", F.expr(hash_order("id")))
         numbered = stage(
-            keyed.join(places, [*by, "_h"]).join(scores, [*by, "id"]).drop("_h"), "pairs"
+            place(keyed, by, "_h").selectExpr(*by, "id", "x", "y", "sx", "sy", "_less AS pos", "_n AS n"), "pairs"
         )
     if n_boot:
         out = out.join(_bootstrap(numbered, by, method, n_boot, level, seed), by, "left")

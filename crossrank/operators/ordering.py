@@ -4,8 +4,9 @@ A plain ranking window sorts a whole group in one task, and a cross-section (all
 one date) may be as large as the data.  Both operators here start from an approximate
 percentile sketch per group, which merges map-side and has a fixed size, and then make the
 result exact: order statistics count the rows around a narrow bracket and sort only the rows
-inside it; ranks sort value ranges apart and add the totals of the ranges below.  Equal values
-are counted before they are shuffled, so a value shared by a third of the rows is one row.
+inside it; ranks sort value ranges apart, on the rows themselves, and add the totals of the
+ranges below.  Order statistics count equal values before they shuffle them; for ranks a common
+value is a range of its own that needs no order, so its rows are spread over many tasks.
 
 ``bounded`` says that the groups are keyed by the calendar (dates, periods, windows), whose
 number is limited by the days covered and not by the data; then the sketches (a few doubles
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from crossrank.staging import stage
 
 BUCKETS = 32
+_SALTS = 64  # parts a range of one value is spread over
 _ACCURACY = 2000
 _SLACK = 1.5 / _ACCURACY
 
@@ -134,40 +136,57 @@ def exact_quantiles(
     return found.groupBy(*by).agg(*map(F.expr, exprs))
 
 
-def ranked_values(
+def place(
     df: DataFrame, by: list[str], value: str, bounded: bool = False, buckets: int = BUCKETS
 ) -> DataFrame:
-    """One row per distinct value of every group: ``ties``, ``less`` and group size ``n``.
+    """Add to every row ``_less`` (rows of its group below it), ``_ties`` (rows equal to it) and
+    ``_n`` (rows with a value), computed where the row is: nothing is joined back on a value.
 
-    Also keeps ``_bucket`` so that prefix scans can continue from here.
+    Quantiles of the sketch cut a group into open ranges, and each cut is a range of its own.
+    A common value is always a cut (it covers a whole step between two quantiles), and a range
+    of one value needs no order: its rows take their place from the counts of the ranges, so
+    they are spread by a hash of their columns.  What is left in an open range is a small share
+    of its group.  Rows without a value, or of a group whose key is NULL, get NULL.
+
+    ``_bucket`` and ``_salt`` stay, so that ``running_extreme`` needs no shuffle of its own.
     """
     rows = df.select(*by, value).where(F.col(value).isNotNull())
     cuts = [i / buckets for i in range(1, buckets)]
     sketch = rows.groupBy(*by).agg(F.percentile_approx(value, cuts, _ACCURACY).alias("_cuts"))
-    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    binned = counted.join(_hint(sketch, bounded), by).selectExpr(
-        *by, value, "ties", f"size(filter(_cuts, c -> c < {value})) AS _bucket"
+    is_cut = f"exists(_cuts, c -> c = {value})"
+    spread = f"pmod(xxhash64({', '.join(f'`{c}`' for c in df.columns)}), {_SALTS})"
+    marked = df.join(_hint(sketch, bounded), by, "left").selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        f"CASE WHEN {value} IS NOT NULL THEN 2 * size(filter(_cuts, c -> c < {value})) + int({is_cut}) END AS _bucket",
+        f"CASE WHEN {value} IS NULL OR {is_cut} THEN {spread} ELSE 0L END AS _salt",
     )
-    group = ", ".join(by)  # at most `buckets` rows per group from here
-    offset = (
-        binned.groupBy(*by, "_bucket")
-        .agg(F.sum("ties").alias("_rows"))
+    group = ", ".join(by)  # at most 2 * `buckets` rows per group from here
+    counts = (
+        marked.where("_bucket IS NOT NULL")
+        .groupBy(*by, "_bucket")
+        .agg(F.count(F.lit(1)).alias("_rows"))
         .selectExpr(
             *by,
             "_bucket",
-            f"coalesce(sum(_rows) OVER (PARTITION BY {group} ORDER BY _bucket"
-            " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS _before",
-            f"sum(_rows) OVER (PARTITION BY {group}) AS n",
+            "_rows",
+            f"sum(_rows) OVER (PARTITION BY {group} ORDER BY _bucket) - _rows AS _before",
+            f"sum(_rows) OVER (PARTITION BY {group}) AS _n",
         )
     )
-    # Joined on the keys the window below sorts by, so it adds no shuffle of its own.
-    return binned.join(F.broadcast(offset) if bounded else offset, [*by, "_bucket"]).selectExpr(
-        *by,
-        value,
-        "ties",
-        f"_before + sum(ties) OVER (PARTITION BY {group}, _bucket ORDER BY {value}) - ties AS less",
-        "n",
-        "_bucket",
+    inside = f"PARTITION BY {group}, _bucket, _salt"
+    columns = [*(f"`{c}`" for c in df.columns), "_bucket", "_salt"]
+    return (
+        marked.join(_hint(counts, bounded), [*by, "_bucket"], "left")
+        .selectExpr(
+            *columns, "_n", "_before", "_rows",
+            f"rank() OVER ({inside} ORDER BY {value}) AS _at",
+            f"count(1) OVER ({inside}, {value}) AS _same",
+        )
+        .selectExpr(
+            *columns, "_n",
+            "CASE WHEN _bucket % 2 = 1 THEN _before ELSE _before + _at - 1 END AS _less",
+            "CASE WHEN _bucket % 2 = 1 THEN _rows WHEN _bucket IS NOT NULL THEN _same END AS _ties",
+        )
     )
 
 
@@ -185,47 +204,42 @@ def with_rank(
     ``low``: ties share the lowest position; ``average``: the mean position; ``percentile``:
     the mean position divided by the number of values.
     """
-    table = ranked_values(df, by, value, bounded)
-    mean_rank = "(less + (ties + 1) / 2D)"
+    mean_rank = "(_less + (_ties + 1) / 2D)"
     picks = []
     if low:
-        picks.append(f"less + 1 AS {low}")
+        picks.append(f"_less + 1 AS {low}")
     if average:
         picks.append(f"{mean_rank} AS {average}")
     if percentile:
-        picks.append(f"{mean_rank} / n AS {percentile}")
-    return df.join(table.selectExpr(*by, value, *picks), [*by, value], "left")
+        picks.append(f"{mean_rank} / _n AS {percentile}")
+    return place(df, by, value, bounded).selectExpr(*[f"`{c}`" for c in df.columns], *picks)
 
 
-def prefix_extreme(
-    table: DataFrame, by: list[str], value: str, term: Column, out: str, rising: bool = True
+def running_extreme(
+    placed: DataFrame, by: list[str], value: str, term: Column, out: str, rising: bool = True,
+    bounded: bool = False,
 ) -> DataFrame:
-    """Running extreme of ``term`` over a ``ranked_values`` table.
+    """Running extreme of ``term``, a function of the value and its place, over ``place`` rows.
 
     ``rising``: maximum over values up to this one; otherwise minimum over values from this
-    one upwards.  Bucket extremes are carried over, so no task sees a whole group.
+    one upwards.  Extremes of the ranges are carried over, so no task sees a whole group.
     """
     pick = F.max if rising else F.min
     join = F.greatest if rising else F.least
     key = (lambda c: F.col(c).asc()) if rising else (lambda c: F.col(c).desc())
-    rows = table.withColumn("_term", term)
+    rows = placed.withColumn("_term", term)
+    before = Window.partitionBy(*by).orderBy(key("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        rows.groupBy(*by, "_bucket")
+        rows.where("_bucket IS NOT NULL")
+        .groupBy(*by, "_bucket")
         .agg(pick("_term").alias("_all"))
-        .withColumn(
-            "_carry",
-            pick("_all").over(
-                Window.partitionBy(*by)
-                .orderBy(key("_bucket"))
-                .rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
+        .withColumn("_carry", pick("_all").over(before))
         .drop("_all")
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy(key(value))
+    inside = Window.partitionBy(*by, "_bucket", "_salt").orderBy(key(value))
     return (
-        rows.withColumn("_run", pick("_term").over(inside))
-        .join(carry, [*by, "_bucket"])
+        rows.join(_hint(carry, bounded), [*by, "_bucket"], "left")
+        .withColumn("_run", pick("_term").over(inside))
         .withColumn(out, join(F.col("_run"), F.col("_carry")))
         .drop("_term", "_run", "_carry")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crossrank.functions.draws import hash_order
 from crossrank.functions.scores import TARGETS, rps_expr, threshold, tie_share
-from crossrank.operators.ordering import Place, order_statistics, ranked_values
+from crossrank.operators.ordering import Place, order_statistics, with_rank
 from crossrank.schema import RANKS
 
 OFFICIAL_SIZE = 100
@@ -127,11 +127,8 @@ def strict_quintile(
     # Only a tie group across a limit needs an order of its own.
     tied = rows.where("_tie.ties > 1").withColumn("_hash", F.expr(hash_order(tie_key)))
     group = [*by, value]
-    place = ranked_values(tied, group, "_hash").select(
-        *group, "_hash", F.col("less").alias("_place")
-    )
-    step = " + ".join(f"int(_tie.less + _place + 1 > {threshold('n', q)})" for q in range(1, 5))
-    broken = tied.join(place, [*group, "_hash"]).selectExpr(
+    step = " + ".join(f"int(_tie.less + _place > {threshold('n', q)})" for q in range(1, 5))
+    broken = with_rank(tied, group, "_hash", low="_place").selectExpr(
         *df.columns, "n", f"1 + {step} AS quintile"
     )
     return plain.unionByName(broken)

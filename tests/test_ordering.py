@@ -96,3 +96,29 @@ def test_adjusted_pvalues_large_family(spark):
     holm, bh = by_definition(p)
     np.testing.assert_allclose(out["p_holm"], holm)
     np.testing.assert_allclose(out["p_bh"], bh)
+
+
+def test_common_values_are_spread(spark):
+    """Four rows in ten share one value, and no task gets much more than its share of the rows."""
+    rows = spark.range(40_000).selectExpr("id", "'g' AS g", "CASE WHEN id % 5 < 2 THEN 7L ELSE id END AS v")
+    placed = od.place(rows, ["g"], "v")
+    sizes = placed.groupBy("_bucket", "_salt").count().toPandas()["count"]
+    assert sizes.sum() == 40_000 and sizes.max() < 40_000 / 20
+    got = placed.where("v = 7").selectExpr("_less", "_ties", "_n").distinct().collect()
+    assert [tuple(r) for r in got] == [(3, 16_001, 40_000)]  # below: 2, 3 and 4; id 7 is itself 7
+    other = placed.where("v != 7").selectExpr("sum(_ties) AS t", "max(_less) AS top").first()
+    assert other["t"] == 23_999 and other["top"] == 39_999
+
+
+def test_ranks_join_nothing_on_the_value(spark):
+    rows = spark.range(100).selectExpr("id", "id % 3 AS g", "id % 7 AS v")
+    plan = od.with_rank(rows, ["g"], "v", low="lo", bounded=True)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("v#" in line for line in joins)
+
+
+def test_adjusted_pvalues_keep_missing_ones(spark):
+    df = spark.createDataFrame([("f", 0.01), ("f", None), ("f", 1.0), ("f", 1.0)], "f string, p_value double")
+    out = sg.adjust_pvalues(df, ["f"]).toPandas().sort_values("p_value")
+    assert out["p_holm"].isna().sum() == 1 and out["p_bh"].isna().sum() == 1
+    np.testing.assert_allclose(out["p_holm"][:3], [0.03, 1.0, 1.0])
