@@ -100,15 +100,14 @@ def checksum_audit(spark, folder):
     absent = stored.where(sk % 11 == 4).select(
         F.concat(F.lit("symbol="), "symbol", F.lit("/absent.txt")).alias("path"), digest.alias("sha256"), bytes_
     )
-    # A manifest is one document with an entry per file.
-    files = listed.union(absent).agg(F.sort_array(F.collect_list(F.struct("path", "sha256", "bytes"))).alias("files"))
-    old, new = (
-        files.select(F.lit("prices").alias("name"), F.lit(day).alias("downloaded"), kept.alias("files"))
-        for day, kept in (("1990-01-01", F.slice("files", 1, 0)), (str(p.last_day), F.col("files")))
+    # A line per file; the older snapshot is an empty one.
+    rows = listed.union(absent).select(
+        F.lit("prices").alias("name"), F.lit(str(p.last_day)).alias("downloaded"), "path", "sha256", "bytes"
     )
-    old.union(new).agg(F.collect_list(F.struct("name", "downloaded", "files")).alias("snapshots")).write.json(manifest)
-    latest = snapshots.snapshot(snapshots.read_manifest(spark, manifest), "prices")
-    audit = snapshots.checksum_audit(spark, snapshots.snapshot_files(latest), root)
+    old = spark.createDataFrame([("prices", "1990-01-01")], "name STRING, downloaded STRING")
+    rows.unionByName(old, allowMissingColumns=True).write.json(manifest)
+    files = snapshots.listed_files(snapshots.read_manifest_rows(spark, manifest), "prices")
+    audit = snapshots.checksum_audit(spark, files, root)
     return audit.select(
         F.regexp_extract("path", "symbol=([^/]+)/", 1).alias("symbol"),
         F.when(F.col("actual").isNull(), "missing").otherwise("wrong digest").alias("problem"),

@@ -231,26 +231,31 @@ def compare_periods(a: DataFrame, b: DataFrame, periods: DataFrame) -> DataFrame
 
     Periods whose edges are not common dates are left out.
     """
-    _, _, a, b = _common(a, b)
-    a, b = stage(a, "common_a", "symbol"), stage(b, "common_b", "symbol")
-    days = {"a": stage(trading_days(a), "days_a"), "b": stage(trading_days(b), "days_b")}
+    known = stage(
+        a.select("symbol").distinct().join(b.select("symbol").distinct(), "symbol", "left_semi"), "common_symbols"
+    )
+    a, b = (df.join(known, "symbol", "left_semi") for df in (a, b))
+    days = stage(
+        a.selectExpr("date AS day").distinct().join(b.selectExpr("date AS day").distinct(), "day", "left_semi"),
+        "common_days",
+    )
     kept = periods
-    for known in days.values():
-        for edge in ("base_date", "end_date"):
-            kept = kept.join(
-                F.broadcast(known.select(F.col("day").alias(edge))), edge, "left_semi"
-            )
+    for edge in ("base_date", "end_date"):
+        kept = kept.join(F.broadcast(days.select(F.col("day").alias(edge))), edge, "left_semi")
     kept = stage(kept, "common_periods")
-    ra = period_returns(a, kept, days["a"]).selectExpr("k", "symbol", "ret AS ra")
-    rb = period_returns(b, kept, days["b"]).selectExpr("k", "symbol", "ret AS rb")
-    both = stage(
-        ra.join(rb, ["k", "symbol"]).where("ra IS NOT NULL AND rb IS NOT NULL"), "both_returns"
+
+    def probed(df: DataFrame, out: str) -> DataFrame:
+        """Returns from as-of prices at the edges only: one aggregate over the panel as it lies."""
+        common = df.join(F.broadcast(days.withColumnRenamed("day", "date")), "date", "left_semi")
+        return period_returns(common, kept, days).where("ret IS NOT NULL").selectExpr("k", "symbol", f"ret AS {out}")
+
+    both = stage(probed(a, "ra").join(probed(b, "rb"), ["k", "symbol"]), "both_returns")
+    sides = both.selectExpr("k", "symbol", "stack(2, 'a', ra, 'b', rb) AS (side, ret)")
+    quintiles = quintile_targets(sides, ["k", "side"], "ret", bounded=True).selectExpr(
+        "k", "symbol", "side", "ret", f"{hard_quintile(TARGETS)} AS q"
     )
-    placed = both
-    for side in ("a", "b"):
-        targets = quintile_targets(placed, ["k"], f"r{side}", bounded=True)
-        placed = targets.withColumn(f"q{side}", F.expr(hard_quintile(TARGETS))).drop("n", *TARGETS)
-        placed = stage(placed, "placed")
+    picks = [f"max(CASE WHEN side = '{side}' THEN {c} END) AS {n}{side}" for side in "ab" for c, n in (("ret", "r"), ("q", "q"))]
+    placed = quintiles.groupBy("k", "symbol").agg(*map(F.expr, picks))
     labels = F.broadcast(kept.select("k", "label"))
     return (
         placed.groupBy("k")

@@ -38,6 +38,28 @@ def test_manifest_picks_the_latest_snapshot(spark, tmp_path):
     assert [(r["stored"], r["actual"]) for r in bad] == [("gone", None)]
 
 
+def test_manifest_rows_and_streamed_digests(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "_PIECE", 7)  # many pieces a file
+    folder = tmp_path / "root" / "a b%20c"
+    folder.mkdir(parents=True)
+    contents = {"one_2024.csv": b"x" * 100, "two_2024.csv": b"", "three_2024.csv": b"0123456"}
+    lines = [{"name": "official", "downloaded": "2024-01-01"}, {"name": "other", "downloaded": "2027-01-01"}]
+    for name, content in contents.items():
+        (folder / name).write_bytes(content)
+        digest = hashlib.sha256(content).hexdigest() if name != "three_2024.csv" else "0" * 64
+        lines.append({"name": "official", "downloaded": "2026-01-01", "path": f"a b%20c/{name}", "sha256": digest, "bytes": len(content)})
+    lines.append({"name": "official", "downloaded": "2026-01-01", "path": "gone_1.csv", "sha256": "1", "bytes": 1})
+    (tmp_path / "rows.json").write_text("\n".join(map(json.dumps, lines)))
+    rows = snapshots.read_manifest_rows(spark, str(tmp_path / "rows.json"))
+    files = snapshots.listed_files(rows, "official")
+    assert {r["stored"] for r in files.collect()} == {"one", "two", "three", "gone"}
+    assert snapshots.listed_files(rows, "official", "2024-01-01").count() == 0
+    with pytest.raises(Exception, match="no snapshot absent"):
+        snapshots.listed_files(rows, "absent").collect()
+    bad = {r["path"]: r["actual"] for r in snapshots.checksum_audit(spark, files, str(tmp_path / "root")).collect()}
+    assert bad == {"gone_1.csv": None, "a b%20c/three_2024.csv": hashlib.sha256(b"0123456").hexdigest()}
+
+
 def test_git_blob_sha(spark):
     df = spark.createDataFrame([(bytearray(b"hello\n"),)], "content binary")
     assert df.selectExpr(f"{snapshots.git_blob_sha()} AS s").first()["s"] == "ce013625030ba8dba906f756967f9e9ca394464a"
