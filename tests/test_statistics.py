@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from crossrank.functions.special import hypergeometric_two_sided, t_upper_tail
+from crossrank.functions.special import hypergeometric_two_sided, student_p
 from crossrank.operators import association as asc
 from crossrank.operators import significance as sg
 
@@ -15,13 +15,44 @@ def series(spark, values, name="m"):
     return spark.createDataFrame([(name, k, float(v)) for k, v in enumerate(values)], "model string, k int, rps_diff double")
 
 
-def test_student_tail_published_values():
-    # Two-sided 5 % points of Student's t for 1, 5, 10 and 60 degrees of freedom.
-    for df, t in ((1, 12.7062047364), (5, 2.5705818366), (10, 2.2281388520), (60, 2.0002978220)):
-        assert 2 * t_upper_tail(t, df) == pytest.approx(0.05, abs=1e-10)
-    # Published tests of 12 and 49 periods.
-    assert t_upper_tail(2.6411, 11) == pytest.approx(0.011474, abs=2e-6)
-    assert t_upper_tail(9.1501, 48) == pytest.approx(2.13e-12, rel=5e-3)
+def upper_tails(spark, cases):
+    """P(T > t) of (t, df) rows."""
+    table = spark.createDataFrame([(i, float(t), n) for i, (t, n) in enumerate(cases)], "i int, t double, n int")
+    return [r["p"] for r in table.selectExpr("i", f"{student_p('t', 'n', 'greater')} AS p").orderBy("i").collect()]
+
+
+def test_student_tail_published_values(spark):
+    # Two-sided 5 % points of Student's t for 1, 5, 10 and 60 degrees of freedom, then published tests of 12 and 49 periods.
+    points = [(12.7062047364, 1), (2.5705818366, 5), (2.2281388520, 10), (2.0002978220, 60)]
+    *five, twelve, many = upper_tails(spark, [*points, (2.6411, 11), (9.1501, 48)])
+    assert five == pytest.approx([0.025] * 4, abs=5e-11)
+    assert twelve == pytest.approx(0.011474, abs=2e-6)
+    assert many == pytest.approx(2.13e-12, rel=5e-3)
+
+
+def test_student_tail_closed_forms_and_integrals(spark):
+    ts = [-40.0, -1.5, -1e-9, 0.0, 0.01, 0.7, 3.0, 250.0]
+    one = upper_tails(spark, [(t, 1) for t in ts])
+    assert one == pytest.approx([math.atan2(1, t) / math.pi for t in ts], rel=1e-12)
+    two = upper_tails(spark, [(t, 2) for t in ts if t > 0])
+    assert two == pytest.approx([1 / (r * (r + t)) for t in ts if t > 0 for r in [math.sqrt(t * t + 2)]], rel=1e-12)
+    grid = np.linspace(0, 1, 200_001)  # over u = 1 / x, which makes the tail finite
+    for n in (7, 30, 400):
+        log_scale = math.lgamma((n + 1) / 2) - math.lgamma(n / 2) - 0.5 * math.log(n * math.pi)
+        for t in (0.3, 1.9):
+            x = t / np.maximum(grid, 1e-300)
+            density = np.where(grid > 0, np.exp(log_scale - (n + 1) / 2 * np.log1p(np.minimum(x, 1e150) ** 2 / n)), 0.0)
+            tail = np.trapezoid(np.where(grid > 0, density * t / np.maximum(grid, 1e-300) ** 2, 0.0), grid)
+            assert upper_tails(spark, [(t, n)])[0] == pytest.approx(tail, rel=1e-7)
+
+
+def test_student_alternatives_and_missing_statistic(spark):
+    table = spark.createDataFrame([(1.2, 9), (None, 9)], "t double, n int")
+    for row in table.selectExpr("t", *[f"{student_p('t', 'n', a)} AS `{a}`" for a in sg.ALTERNATIVES]).collect():
+        if row["t"] is None:
+            assert row["less"] is row["greater"] is row["two-sided"] is None
+        else:
+            assert row["less"] == pytest.approx(1 - row["greater"]) and row["two-sided"] == pytest.approx(2 * row["greater"])
 
 
 def test_fisher_published_table():
