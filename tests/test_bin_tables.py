@@ -10,6 +10,7 @@ import pytest
 from crossrank.functions.scores import TARGETS
 from crossrank.operators import bin_tables as bt
 from crossrank.operators import samples as sm
+from crossrank.operators import targets as tg
 from crossrank.operators.features import FEATURES
 from crossrank.plans import cascade as cs
 from crossrank.schema import RANKS
@@ -154,3 +155,36 @@ def test_out_of_fold_rows_are_not_trained_on(spark):
             train = [x for x in rows if folds[(x[2], x[0])] != folds[(r[2], at)]]
             assert got[r[2]] == pytest.approx(one_by_one(train, r[3 : 3 + len(FEATURES)], 2, 3.0, 18), abs=1e-12)
     assert len(got) == 14
+
+
+def test_rows_are_forecast_and_scored_where_they_are(spark):
+    """Forecasting shuffles nothing, and scores equal those of the written-out forecasts, also under several models."""
+    rows = made()
+    samples = stage(spark.createDataFrame(rows, SCHEMA).repartition(3), "bt_samples")
+    uses = uses_of(spark, rows, (3, 5))
+    tables = stage(bt.fitted(bt.cell_counts(samples, cs.WINDOW, GRID, "ranks"), uses, cs.WINDOW, ["k"]), "bt_tables")
+    bases = sorted({r[:2] for r in rows})
+    tests = samples.where("base_date >= date'2020-06-01'")
+    models = {w: [(k,) for k in (3, 5, 99)] for w in bases if str(w[0]) >= "2020-06-01"}  # 99 was never fitted
+    every = stage(tests.crossJoin(spark.createDataFrame([(3,), (5,), (99,)], "k int")), "bt_every")
+    forecasts = bt.predicted(every, ["k", *cs.WINDOW, "symbol"], ["k"], tables, GRID, "ranks", (9, 18))
+    plan = forecasts._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Exchange", "Window", "Generate"))
+    want = tg.mean_rps(tg.rps_per_asset(forecasts, samples, [*cs.WINDOW, "symbol"]), ["k", *cs.WINDOW, "config", "rounds"]).toPandas()
+    got = bt.scored(tests, cs.WINDOW, ["k"], tables, GRID, "ranks", (9, 18), models).toPandas()
+    key = ["k", *cs.WINDOW, "config", "rounds"]
+    both = got.merge(want, on=key, suffixes=("", "_want"))
+    assert len(both) == len(got) == len(want) == 3 * len(models) * 4 * 2 and (both["n"] == both["n_assets"]).all()
+    np.testing.assert_allclose(both["rps"], both["rps_want"], atol=1e-12)
+
+
+def test_a_query_makes_only_the_tables_it_needs(monkeypatch):
+    from crossrank.catalog import cascades
+
+    assert cascades.Steps.__dict__["samples"].__class__.__name__ == "cached_property"
+    made_now = []
+    monkeypatch.setattr(cascades, "stage", lambda df, label, *a, **k: made_now.append(label) or df)
+    monkeypatch.setattr(cascades.sm, "weekly_bases", lambda days, origins: "bases")
+    panel = type("P", (), {"days": None, "origins": None, "calendar": type("C", (), {"where": lambda s, c: s, "select": lambda s, c: s})()})()
+    monkeypatch.setattr(cascades.F, "broadcast", lambda df: df)
+    assert cascades.Steps(panel).bases == "bases" and made_now == ["weekly_bases"]
