@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # The largest number of rounds and the rounds without a gain that end a search.
 MAX_ROUNDS, PATIENCE = 1000, 50
+SPREAD = 4  # tasks that count the rows of one window
+_SHARES = ", ".join(f"b{q}" for q in range(1, 6))
 WINDOW = ["base_date", "end_date"]
 
 
@@ -57,17 +60,13 @@ class Boosting:
         return sorted(set(self.grid["num_leaves"]))
 
 
-def leaf_columns(rows: DataFrame, keep: list[str], leaves: list[int]) -> DataFrame:
-    """``keep``, num_leaves and the leaf of every feature in ``cells`` (numbered over all features)."""
+def leaf_columns(leaves: list[int]) -> list[str]:
+    """SQL of the columns ``_cells{n}``: the leaf of every feature (numbered over all features) for each number."""
     def cell(i: int, f: str, n: int) -> str:
         own = f"CASE WHEN {f} IS NULL THEN {n} ELSE int(greatest(0, least({n - 1}, floor({f} * {n})))) END"
         return f"{i * (n + 1)} + {own}"
 
-    sets = ", ".join(
-        f"named_struct('num_leaves', {n}, 'cells', array({', '.join(cell(i, f, n) for i, f in enumerate(FEATURES))}))"
-        for n in leaves
-    )
-    return rows.selectExpr(*keep, f"inline(array({sets}))")
+    return [f"array({', '.join(cell(i, f, n) for i, f in enumerate(FEATURES))}) AS _cells{n}" for n in leaves]
 
 
 def statistics(samples: DataFrame, leaves: list[int]) -> DataFrame:
@@ -75,26 +74,63 @@ def statistics(samples: DataFrame, leaves: list[int]) -> DataFrame:
 
     ``b`` >= 0: rows in leaf a and leaf b (a <= b).  ``b`` = -1..-5: target sums of leaf a.  With a = -1,
     ``b`` = -1 holds the rows of the window and -2 the sum of their squared centred running targets.
+
+    Each window is dealt to ``SPREAD`` tasks, which read its rows in batches and keep the counts of one
+    window: a row is never unfolded into its pairs of leaves, and what the tasks pass on has the size
+    of the tables.
     """
-    key = [*WINDOW, "num_leaves"]
-    coded = leaf_columns(samples, [*WINDOW, *TARGETS], leaves)
-    last = len(FEATURES) - 1
-    pairs = (
-        f"inline(flatten(transform(sequence(0, {last}), i -> transform(sequence(i, {last}), "
-        "j -> named_struct('a', cells[i], 'b', cells[j])))))"
-    )
-    together = coded.selectExpr(*key, pairs).groupBy(*key, "a", "b").agg(F.count(F.lit(1)).cast("double").alias("v"))
-    sums = (
-        coded.selectExpr(*key, *TARGETS, "explode(cells) AS a").groupBy(*key, "a")
-        .agg(*[F.sum(t).alias(t) for t in TARGETS])
-        .selectExpr(*key, "a", f"stack(5, {', '.join(f'-{q}, {t}' for q, t in enumerate(TARGETS, 1))}) AS (b, v)")
-    )
     running = " + ".join(f"pow({' + '.join(TARGETS[: q + 1])} - {0.2 * (q + 1)}D, 2)" for q in range(5))
-    whole = (
-        coded.groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.expr(running)).alias("s"))
-        .selectExpr(*key, "-1 AS a", "stack(2, -1, n, -2, s) AS (b, v)")
+    dealt = (
+        samples.selectExpr(
+            *WINDOW, *TARGETS, f"{running} AS _square", *leaf_columns(leaves), f"pmod(xxhash64(symbol), {SPREAD}) AS _part"
+        )
+        .repartition(*WINDOW, "_part")
+        .sortWithinPartitions(*WINDOW)
+        .drop("_part")
     )
-    return together.unionByName(sums).unionByName(whole)
+    width = {n: len(FEATURES) * (n + 1) for n in leaves}
+    pairs = np.triu_indices(len(FEATURES))
+
+    def table(key: tuple, types: list, state: dict) -> pa.RecordBatch:
+        parts = []
+        for n, (gram, sums, whole) in state.items():
+            at, seen = np.flatnonzero(gram), np.flatnonzero(np.diag(gram.reshape(width[n], width[n])))
+            parts.append((n, at // width[n], at % width[n], gram[at]))
+            parts.extend((n, seen, np.full(len(seen), -1 - q), sums[q][seen]) for q in range(5))
+            parts.append((n, np.full(2, -1), np.array([-1, -2]), whole))
+        size = sum(len(v) for *_, v in parts)
+        marks = [pa.array([k] * size, type=t) for k, t in zip(key, types)]
+        ints = [np.concatenate([np.full(len(v), n) for n, _, _, v in parts]), *[np.concatenate([p[i] for p in parts]) for i in (1, 2)]]
+        values = np.concatenate([v for *_, v in parts])
+        return pa.RecordBatch.from_arrays(
+            [*marks, *[pa.array(c.astype(np.int32)) for c in ints], pa.array(values)], names=[*WINDOW, "num_leaves", "a", "b", "v"]
+        )
+
+    def counted(batches):
+        now, state, types = None, {}, []
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in WINDOW]
+            found = batch.select(WINDOW).to_pandas(date_as_object=True).groupby(WINDOW, sort=False, dropna=False).indices
+            cells = {n: batch.column(f"_cells{n}").flatten().to_numpy().reshape(-1, len(FEATURES)).astype(np.int64) for n in leaves}
+            targets = [batch.column(t).to_numpy(zero_copy_only=False) for t in TARGETS]
+            square = batch.column("_square").to_numpy(zero_copy_only=False)
+            for key, where in found.items():  # in the order of the rows, which are sorted
+                if key != now:
+                    if now is not None:
+                        yield table(now, types, state)
+                    now = key
+                    state = {n: (np.zeros(w * w), np.zeros((5, w)), np.zeros(2)) for n, w in width.items()}
+                for n, (gram, sums, whole) in state.items():
+                    own = cells[n][where]
+                    gram += np.bincount((own[:, pairs[0]] * width[n] + own[:, pairs[1]]).ravel(), minlength=len(gram))
+                    for q, target in enumerate(targets):
+                        sums[q] += np.bincount(own.ravel(), np.repeat(target[where], own.shape[1]), width[n])
+                    whole += (len(where), square[where].sum())
+        if now is not None:
+            yield table(now, types, state)
+
+    schema = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in WINDOW) + ", num_leaves int, a int, b int, v double"
+    return dealt.mapInArrow(counted, schema).groupBy(*WINDOW, "num_leaves", "a", "b").agg(F.sum("v").alias("v"))
 
 
 class Tables:
@@ -227,14 +263,29 @@ def forecast(
     chosen = models.join(best.withColumnRenamed("_best", "config"), ["k", "config"]).join(
         F.broadcast(configs.select("config", "num_leaves")), "config"
     ).select("k", "num_leaves", "cell", *[f"b{q}" for q in range(1, 6)])
-    cells = leaf_columns(origin_rows, ["k", "symbol"], model.leaves()).selectExpr("k", "symbol", "num_leaves", "explode(cells) AS cell")
-    shares = cells.join(stage(chosen, "boosted_leaves"), ["k", "num_leaves", "cell"]).groupBy("k", "symbol").agg(
-        *[F.greatest(F.lit(0.0), F.round(F.sum(f"b{q}") + 0.2, 12)).alias(f"p{q}") for q in range(1, 6)]
+    # One row per origin: the leaves of its model as an array, so a row is forecast where it is.
+    leaves = stage(
+        chosen.groupBy("k", "num_leaves").agg(F.expr(f"array_sort(collect_list(struct(cell, {_SHARES}))) AS _leaves")),
+        "boosted_leaves",
+    )
+    own = "CASE num_leaves " + " ".join(f"WHEN {n} THEN _cells{n}" for n in model.leaves()) + " END"
+    shares = (
+        origin_rows.join(F.broadcast(counts.select("k")), "k", "left_semi")
+        .selectExpr("k", "symbol", *leaf_columns(model.leaves()))
+        .join(F.broadcast(leaves), "k", "left")
+        .selectExpr("k", "symbol", "_leaves", f"{own} AS _own")
+        .selectExpr(
+            "k", "symbol",
+            *[
+                "greatest(0D, round(" + " + ".join(f"_leaves[_own[{i}]].b{q}" for i in range(len(FEATURES))) + f" + 0.2D, 12)) AS p{q}"
+                for q in range(1, 6)
+            ],
+            "_leaves IS NOT NULL AS _fitted",
+        )
     )
     total = " + ".join(f"p{q}" for q in range(1, 6))
-    own = shares.selectExpr("k", "symbol", *[f"p{q} / ({total}) AS {c}" for q, c in enumerate(RANKS, 1)])
-    asked = origin_rows.join(F.broadcast(counts.select("k")), "k", "left_semi").select("k", "symbol")
-    out = asked.join(own, ["k", "symbol"], "left").selectExpr(
-        f"'{model.name}' AS model", "k", "symbol", *[f"coalesce({c}, 0.2D) AS {c}" for c in RANKS]
+    out = shares.selectExpr(
+        f"'{model.name}' AS model", "k", "symbol",
+        *[f"CASE WHEN _fitted THEN coalesce(p{q} / ({total}), 0.2D) ELSE 0.2D END AS {c}" for q, c in enumerate(RANKS, 1)],
     )
     return out, log
