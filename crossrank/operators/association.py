@@ -182,14 +182,30 @@ def forecast_profiles(submissions: DataFrame, teams: DataFrame) -> DataFrame:
 
 
 def team_months(submissions: DataFrame) -> DataFrame:
-    """Per team and evaluation: distance from uniform, gross exposure, largest position."""
+    """Per team and evaluation: distance from uniform, gross exposure, largest position.
+
+    Numbers are summed first; a text in an aggregate would sort every row.  Only the rows whose
+    position is as large as the largest one are then compared by symbol.
+    """
     off = [f"abs({c} - 0.2D)" for c in RANKS]
-    return submissions.groupBy("Team", "Evaluation").agg(
-        F.expr(f"avg(({' + '.join(off)}) / 5) AS mean_abs_dev_uniform"),
-        F.expr(f"max(greatest({', '.join(off)})) AS max_abs_dev_uniform"),
-        F.expr("sum(abs(Decision)) AS gross_exposure"),
-        F.expr("min_by(Symbol, struct(-abs(Decision), Symbol)) AS largest_position"),
-        F.expr("min_by(Decision, struct(-abs(Decision), Symbol)) AS largest_weight"),
+    key = ["Team", "Evaluation"]
+    sums = stage(
+        submissions.groupBy(*key).agg(
+            F.expr(f"avg(({' + '.join(off)}) / 5) AS mean_abs_dev_uniform"),
+            F.expr(f"max(greatest({', '.join(off)})) AS max_abs_dev_uniform"),
+            F.expr("sum(abs(Decision)) AS gross_exposure"),
+            F.expr("max(CASE WHEN NOT isnan(Decision) THEN abs(Decision) END) AS _top"),
+        ),
+        "team_sums",
+    )
+    # A position that is not known is the largest one only where none is known.
+    top = submissions.select(*key, "Symbol", "Decision").join(F.broadcast(sums.select(*key, "_top")), key)
+    largest = top.where("abs(Decision) <=> _top").groupBy(*key).agg(
+        F.min(F.struct("Symbol", "Decision")).alias("_first")
+    )
+    return sums.join(F.broadcast(largest), key, "left").select(
+        *key, "mean_abs_dev_uniform", "max_abs_dev_uniform", "gross_exposure",
+        F.col("_first.Symbol").alias("largest_position"), F.col("_first.Decision").alias("largest_weight"),
     )
 
 

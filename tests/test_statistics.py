@@ -9,6 +9,7 @@ import pytest
 from crossrank.functions.special import hypergeometric_two_sided, student_p
 from crossrank.operators import association as asc
 from crossrank.operators import significance as sg
+from crossrank.schema import RANKS
 
 
 def series(spark, values, name="m"):
@@ -163,3 +164,17 @@ def test_fisher_tails_equal_full_enumeration():
         want = sum(m for m in mass.values() if m <= mass[a] * (1 + 1e-7)) / math.comb(n, col)
         assert hypergeometric_two_sided(a, b, c, d) == pytest.approx(want, rel=1e-9)
     assert 0 < hypergeometric_two_sided(50_001_000, 50_000_000, 50_000_000, 50_000_000) < 1
+
+
+def test_team_months_compare_symbols_only_at_the_top(spark):
+    rows = [
+        ("A", "m1", "S2", 0.5), ("A", "m1", "S10", -0.5), ("A", "m1", "S1", 0.1), ("A", "m1", "S0", None),
+        ("A", "m2", "S3", 0.0), ("A", "m2", "S2", 0.0), ("B", "m1", "S5", None), ("B", "m1", "S4", None),
+    ]
+    table = spark.createDataFrame([(*r, *[0.3, 0.1, 0.2, 0.2, 0.2]) for r in rows], "Team string, Evaluation string, Symbol string, Decision double, " + ", ".join(f"{c} double" for c in RANKS))
+    out = asc.team_months(table)
+    got = {(r["Team"], r["Evaluation"]): r for r in out.collect()}
+    assert [got[k]["largest_position"] for k in (("A", "m1"), ("A", "m2"), ("B", "m1"))] == ["S10", "S2", "S4"]
+    assert [got[k]["largest_weight"] for k in (("A", "m1"), ("A", "m2"), ("B", "m1"))] == [-0.5, 0.0, None]
+    assert got["A", "m1"]["gross_exposure"] == 1.1 and math.isclose(got["B", "m1"]["mean_abs_dev_uniform"], 0.04)
+    assert "min_by" not in out._jdf.queryExecution().executedPlan().toString()
