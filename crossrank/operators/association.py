@@ -219,39 +219,53 @@ def fidelity(
 ) -> DataFrame:
     """Per (by, k): correlation, shrinkage fit, differences, and the RPS of both.
 
-    Both tables have (by, k, symbol, Rank1..5); the residual is submission - shrink x re-run.
+    ``submitted`` has one row per (by, k, symbol) with Rank1..5.  So has ``rerun``, or it leaves out columns of ``by``:
+    then one re-run is held against all their values.  The residual is submission - shrink x re-run.
+
+    The re-run and the targets meet first; the many submitted rows are joined once, as they are,
+    and unfold into their five cells only inside an aggregate.
     """
-    key = [*by, "k", "symbol"]
     group = [*by, "k"]
-    both = stage(
-        _cells(rerun, key, "x").join(_cells(submitted, key, "y"), [*key, "q"]), "fidelity_cells"
-    )
-    fit = both.groupBy(*group).agg(
-        F.expr("CASE WHEN max(x) > min(x) AND max(y) > min(y) THEN corr(x, y) END AS corr"),
-        F.expr("try_divide(sum(x * y), sum(x * x)) AS shrink"),
-        F.expr("avg(abs(x - y)) AS mean_abs_diff"),
-        F.expr("max(abs(x - y)) AS max_abs_diff"),
+    shared = [c for c in group if c in rerun.columns]
+    on = [*shared, "symbol"]
+    realised = targets.select("k", "symbol", *TARGETS, F.lit(True).alias("_real"))
+    ours = [f"_x{q}" for q in range(1, 6)]
+    known = rerun.select(*on, *[F.col(c).alias(x) for c, x in zip(RANKS, ours)], F.lit(True).alias("_run"))
+    if len(shared) == 1:  # the re-run has a row per asset and period, as the targets have
+        both = submitted.select(*group, "symbol", *RANKS).join(
+            known.join(realised, ["k", "symbol"], "full_outer").hint("shuffle_hash"), ["k", "symbol"], "left"
+        )
+    else:
+        both = (
+            submitted.select(*group, "symbol", *RANKS).join(known, on, "left")
+            .join(realised.hint("shuffle_hash"), ["k", "symbol"], "left")
+        )
+    both = stage(both.where("_run OR _real").drop("symbol"), "fidelity_rows")
+    cells = ", ".join(f"{x} - 0.2D, {c} - 0.2D" for x, c in zip(ours, RANKS))
+    pairs = both.where("_run").selectExpr(*group, f"stack(5, {cells}) AS (x, y)")
+    fit = stage(
+        pairs.groupBy(*group).agg(
+            F.expr("CASE WHEN max(x) > min(x) AND max(y) > min(y) THEN corr(x, y) END AS corr"),
+            F.expr("try_divide(sum(x * y), sum(x * x)) AS shrink"),
+            F.expr("avg(abs(x - y)) AS mean_abs_diff"),
+            F.expr("max(abs(x - y)) AS max_abs_diff"),
+        ),
+        "fidelity_fit",
     )
-    fit = stage(fit, "fidelity_fit")
     residuals = (
-        both.join(fit.select(*group, "shrink"), group)
+        pairs.join(F.broadcast(fit.select(*group, "shrink")), group)  # one row per group
         .groupBy(*group)
         .agg(
             F.expr("avg(abs(y - shrink * x)) AS mean_abs_resid"),
             F.expr("max(abs(y - shrink * x)) AS max_abs_resid"),
         )
     )
-    realised = targets.select("k", "symbol", *TARGETS)
-
-    def score(table: DataFrame, name: str) -> DataFrame:
-        joined = table.select(*key, *RANKS).join(realised, ["k", "symbol"])
-        return joined.groupBy(*group).agg(F.avg(F.expr(rps_expr())).alias(name))
-
-    return (
-        fit.join(residuals, group)
-        .join(score(submitted, "rps_submission"), group)
-        .join(score(rerun, "rps_reproduction"), group)
+    submission = both.where("_real").groupBy(*group).agg(F.avg(F.expr(rps_expr())).alias("rps_submission"))
+    reproduction = (
+        rerun.select(*on, *RANKS).join(realised, ["k", "symbol"]).groupBy(*shared)
+        .agg(F.avg(F.expr(rps_expr())).alias("rps_reproduction"))
     )
+    return fit.join(residuals, group).join(submission, group).join(reproduction, shared)
 
 
 def seed_spread(reruns: DataFrame) -> DataFrame:

@@ -178,3 +178,30 @@ def test_team_months_compare_symbols_only_at_the_top(spark):
     assert [got[k]["largest_weight"] for k in (("A", "m1"), ("A", "m2"), ("B", "m1"))] == [-0.5, 0.0, None]
     assert got["A", "m1"]["gross_exposure"] == 1.1 and math.isclose(got["B", "m1"]["mean_abs_dev_uniform"], 0.04)
     assert "min_by" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fidelity_of_one_rerun_for_all_teams(spark):
+    rng = np.random.default_rng(3)
+    shares = lambda: [float(x) for x in rng.dirichlet(np.ones(5))]
+    ddl = ", ".join(f"{c} double" for c in RANKS)
+    rerun = [(k, f"S{i}", *shares()) for k in (1, 2) for i in range(6)]
+    teams = [(t, k, f"S{i}", *shares()) for t in ("A", "B") for k in (1, 2) for i in range(7 if t == "A" else 4)]
+    truth = [(k, f"S{i}", *[float(j == (i + k) % 5) for j in range(5)]) for k in (1, 2) for i in range(1, 8)]
+    one = spark.createDataFrame(rerun, f"k int, symbol string, {ddl}")
+    submitted = spark.createDataFrame(teams, f"team string, k int, symbol string, {ddl}")
+    targets = spark.createDataFrame(truth, "k int, symbol string, " + ", ".join(f"Target{q} double" for q in range(1, 6)))
+    each = one.crossJoin(submitted.select("team").distinct())
+    got, want = (
+        asc.fidelity(r, submitted, targets, ["team"]).toPandas().set_index(["team", "k"]).sort_index() for r in (one, each)
+    )
+    pd.testing.assert_frame_equal(got, want[got.columns])
+    ours, real = {r[:2]: np.array(r[2:]) for r in rerun}, {r[:2]: np.array(r[2:]) for r in truth}
+    for (team, k), row in got.iterrows():
+        mine = {r[2]: np.array(r[3:]) for r in teams if r[:2] == (team, k)}
+        both = [s for s in mine if (k, s) in ours]
+        x, y = (np.concatenate(v) - 0.2 for v in ([ours[k, s] for s in both], [mine[s] for s in both]))
+        shrink = (x @ y) / (x @ x)
+        scores = [np.mean(np.cumsum(real[k, s] - p) ** 2) for s, p in mine.items() if (k, s) in real]
+        again = [np.mean(np.cumsum(real[k, s] - p) ** 2) for (j, s), p in ours.items() if j == k and (k, s) in real]
+        want_row = [np.corrcoef(x, y)[0, 1], shrink, abs(x - y).mean(), abs(x - y).max(), abs(y - shrink * x).mean(), abs(y - shrink * x).max(), np.mean(scores), np.mean(again)]
+        np.testing.assert_allclose(row[["corr", "shrink", "mean_abs_diff", "max_abs_diff", "mean_abs_resid", "max_abs_resid", "rps_submission", "rps_reproduction"]].to_numpy(float), want_row, atol=1e-12)
