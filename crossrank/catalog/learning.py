@@ -106,7 +106,7 @@ def cross_sectional_daily(spark, folder):
 @query(with_parts("naive", "SELECT symbol, date, " + ", ".join(f"ROUND({c}, 5) AS {c}" for c in ft.FEATURES) + " FROM naive"))
 def naive_features(spark, folder):
     p = panels(spark, folder)
-    out = ft.naive_features(stage(ft.price_signals(p.prices, p.days), "signals_daily"))
+    out = ft.naive_features(ft.price_signals(p.prices, p.days))
     return rounded(out, **dict.fromkeys(ft.FEATURES, 5))
 
 
