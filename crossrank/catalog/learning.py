@@ -52,12 +52,18 @@ def _samples(p):
     return stage(sm.window_samples(p.prices, windows, _base_features(p), p.days), "samples"), windows
 
 
-def _weekly(p):
-    signals = stage(ft.price_signals(p.prices, p.days), "signals_daily")
+def _weekly_windows(p):
+    """Labelled rows of the weekly samples, and their bases."""
     bases = stage(sm.weekly_bases(p.days, p.origins), "weekly")
-    return stage(
-        sm.window_samples(p.prices, bases, ft.naive_features(signals), p.days), "weekly_samples"
-    )
+    return sm.window_targets(p.prices, bases, p.days), bases
+
+
+def _weekly(p):
+    """Weekly samples: features scaled over every day of a symbol, where its prices are, and kept on the bases."""
+    labelled, bases = _weekly_windows(p)
+    every = ft.naive_features(ft.price_signals(p.prices, p.days))
+    dates = F.broadcast(bases.selectExpr("base_date AS date"))  # calendar-sized
+    return sm.with_features(labelled, every.join(dates, "date", "left_semi"))
 
 
 @query(with_parts("win", "SELECT k, origin, j, wb AS base_date, we AS end_date FROM win"))
