@@ -194,7 +194,8 @@ def weekly_samples(spark, folder):
 )
 def unpurged_training_rows(spark, folder):
     p = panels(spark, folder)
-    used = sm.unpurged_past(_weekly(p), p.origins)
+    rows = stage(_weekly_windows(p)[0].select("base_date", "end_date"), "weekly_dates")  # all that is asked of a row
+    used = sm.unpurged_past(rows, p.origins)
     return used.groupBy("k").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.expr("end_date > origin")).alias("leaking"),
