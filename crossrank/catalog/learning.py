@@ -210,7 +210,7 @@ def unpurged_training_rows(spark, folder):
     )
 )
 def shuffled_folds(spark, folder):
-    out = sm.shuffled_folds(_weekly(panels(spark, folder)))
+    out = sm.shuffled_folds(_weekly_windows(panels(spark, folder))[0])  # a fold follows from the key of its row
     return out.select("base_date", "symbol", "fold")
 
 
